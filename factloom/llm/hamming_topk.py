@@ -1,16 +1,17 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into segments. Round r probes, for every open query and segment, the values at exactly r
-differing bits, and verifies the whole distance of what the index holds there. After round r every code within
-``segments * (r + 1) - 1`` bits has been seen: one further off by no more would have r or fewer differing bits in some
-segment. A query closes when its k-th verified distance is no greater. Copies are searched once: the index holds distinct
-codes with their number and k smallest ids, and queries with equal codes share one search.
+A code of 64 bits is cut into segments. Search radii grow one segment at a time: at radius r the values at exactly r
+differing bits from a query's segment are probed, and the whole distance of what the index holds there is verified. When
+segments 0..a have been searched to radius r and the others to r - 1, every code within ``segments * r + a`` bits has been
+seen: one no further off would differ by r or fewer bits in one of the former or by r - 1 or fewer in one of the latter. A query
+closes when its k-th verified distance is covered so. The first rounds are cheap and take all segments at once. Copies are
+searched once: the index holds distinct codes with their number and k smallest ids, and queries with equal codes share one search.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import log2
+from math import ceil, log2
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import stored
 
 BITS, K = 64, 10
+#: From this radius on a round takes one segment.
+STEPWISE = 3
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -29,8 +32,8 @@ def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 def segment_count(codes: int) -> int:
-    """Segments of about log2(codes) bits, between 2 and 8."""
-    return max(2, min(8, round(BITS / max(1.0, log2(max(2, codes))))))
+    """So many that none is wider than log2(codes) bits; between 2 and 8."""
+    return max(2, min(8, ceil(BITS / max(1.0, log2(max(2, codes))))))
 
 
 def _masks(width: int, radius: int) -> list[int]:
@@ -38,20 +41,34 @@ def _masks(width: int, radius: int) -> list[int]:
 
 
 def _probe(value: F.Column, masks: list[int], n: int, k: int) -> F.Column:
-    return F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: value.bitwiseXOR(m.cast("long")) * n + k)
+    constant = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")  # folds to one literal, however many masks there are
+    return F.transform(constant, lambda m: value.bitwiseXOR(m) * n + k)
 
 
-def _keys(codes: DataFrame, n: int, radius: int, *more: str) -> DataFrame:
-    """A row for each value at exactly ``radius`` bits from each of a code's segments."""
+def _keys(codes: DataFrame, n: int, segments: range, radius: int, *more: str) -> DataFrame:
+    """A row for each value at exactly ``radius`` bits from each of the named ones of a code's ``n`` segments."""
     edges = [BITS * i // n for i in range(n + 1)]
     arrays = []
-    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-        if radius <= b - a:
-            value = F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-            arrays.append(_probe(value, _masks(b - a, radius), n, k))
+    for k in segments:
+        a, width = edges[k], edges[k + 1] - edges[k]
+        if radius <= width:
+            value = F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << width) - 1))
+            arrays.append(_probe(value, _masks(width, radius), n, k))
     return codes.select(F.explode(F.concat(*arrays)).alias("key"), "code", *more)
 
 
+def schedule(n: int):
+    """(segments, radius, distance that is covered then), until every code has been seen."""
+    widest = max(BITS * (i + 1) // n - BITS * i // n for i in range(n))
+    for radius in range(widest + 1):
+        if radius < STEPWISE:
+            yield range(n), radius, n * (radius + 1) - 1
+        else:
+            for k in range(n):
+                if radius <= BITS * (k + 1) // n - BITS * k // n:
+                    yield range(k, k + 1), radius, n * radius + k
+
+
 def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``query_id, rank`` (from 1), ``vec_id, distance``: the ``k`` nearest rows of ``codes`` by distance, then id, for each row of ``queries``.
 
@@ -61,26 +78,28 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     by_code = Window.partitionBy("code").orderBy("vec_id")
     firsts = codes.withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= k)  # limited before the shuffle, too
     index = stored(firsts.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "codes")
-    n = segment_count(index.count())
+    distinct, rows = index.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    n, need = segment_count(distinct), min(k, rows)
     open_ = stored(queries.select("code").distinct().withColumn("bound", F.lit(BITS)), "queries")
-    keyed = stored(_keys(index, n, 0, "ids"), "keyed")
-    best, done, radius, widest = None, [], 0, max(BITS * (i + 1) // n - BITS * i // n for i in range(n))
+    keyed = stored(_keys(index, n, range(n), 0, "ids"), "keyed")
+    best, done, plan = None, [], schedule(n)
     while not open_.isEmpty():
-        a, b = _keys(open_, n, radius, "bound").alias("a"), keyed.alias("b")
+        segments, radius, covered = next(plan, (None, 0, 0))
+        if segments is None:  # every code has been seen; there are fewer than k rows
+            done.append(best)
+            break
+        a, b = _keys(open_, n, segments, radius, "bound").alias("a"), keyed.alias("b")
         distance = F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code")))
-        near = a.join(b, (F.col("a.key") == F.col("b.key")) & (distance <= F.col("a.bound")))
+        # the planner does not see how many rows explode() makes, so it must not take the probes for a small side
+        near = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & (distance <= F.col("a.bound")))
         near = near.select(F.col("a.code").alias("code"), F.col("b.code").alias("found"), distance.alias("distance"), F.col("b.ids").alias("ids"))
         pool = near if best is None else near.unionByName(best)
-        before = F.coalesce(F.sum(F.size("ids")).over(Window.partitionBy("code").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        nearer = Window.partitionBy("code").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.size("ids")).over(nearer), F.lit(0))
         pool = stored(pool.distinct().withColumn("before", before).where(F.col("before") < k).drop("before"), "nearest")
         full = pool.groupBy("code").agg(F.sum(F.size("ids")).alias("held"), F.max("distance").alias("last"))
         state = open_.select("code").join(full, "code", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-        seen = (F.col("held") >= k) & (F.col("last") <= n * (radius + 1) - 1)
-        radius += 1
-        if radius > widest:
-            done.append(pool)
-            break
-        state = stored(state.withColumn("closed", seen), "state")
+        state = stored(state.withColumn("closed", (F.col("held") >= need) & ((F.col("last") <= covered) | F.lit(need == rows))), "state")
         done.append(pool.join(state.where("closed"), "code", "left_semi"))
         open_ = state.where("not closed").select("code", F.when(F.col("held") >= k, F.col("last")).otherwise(F.lit(BITS)).alias("bound"))
         best = pool.join(open_, "code", "left_semi")
