@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 import unicodedata
 from functools import lru_cache
 from hashlib import sha256
@@ -19,13 +20,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 #: Symbols that the transducer gathers beyond its lookahead before it merges.
 BLOCK = 4096
 #: Words of which a task keeps the tokens; the memory is emptied when it is full.
 REMEMBERED = 300_000
-#: The white space of the vocabulary's normaliser (fixed values).
-SPACE = r"[\t-\r \x85\xa0  -     　]"
+#: Characters whose class no Unicode version in use disputes; a text with others is normalised and split by the tokenizers library.
+ODD = re.compile(r"[^\t\n\r -~\xa1-ɏͰ-ԯ‐-‧₠-₿぀-ヿ一-鿿가-힣]")
 
 
 def byte_alphabet() -> list[str]:
@@ -136,7 +139,12 @@ class Encoder:
         self.merges = Merges(path)
         self.transducer = Transducer(self.merges, block)
         self.long = block
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|(?:(?!" + SPACE + r")[^\p{L}\p{N}])+")
+        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        exact = Tokenizer.from_file(path)
+        self.normal = exact.normalizer.normalize_str
+        with open(path, encoding="utf-8") as f:
+            pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")") if self.merges.special else None
         outer = self
 
@@ -166,9 +174,12 @@ class Encoder:
             if piece in self.merges.special:
                 parts.append(str(self.merges.special[piece]))
             elif piece:
-                plain = unicodedata.normalize("NFC", piece) if not piece.isascii() else piece
-                low = plain.replace("Σ", "σ").lower()
-                parts += map(self.remembered.__getitem__, self.words.findall(low))
+                if ODD.search(piece):
+                    words = [w for w, _ in self.split(self.normal(piece))]
+                else:
+                    plain = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
+                    words = self.words.findall(plain.replace("Σ", "σ").lower())
+                parts += map(self.remembered.__getitem__, words)
         return " ".join(parts)
 
 
