@@ -80,8 +80,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def constants(values) -> F.Column:
+    """An array that folds to one literal, however many values it has."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
 def _tagged(masks: F.Column, value: F.Column, n: int, k: int) -> F.Column:
-    return F.transform(masks, lambda m: value.bitwiseXOR(m.cast("long")) * n + k)
+    return F.transform(masks, lambda m: value.bitwiseXOR(m) * n + k)
 
 
 def _keys(fps: DataFrame, plan: list[tuple[int, int, int]], probe: bool) -> DataFrame:
@@ -89,7 +94,7 @@ def _keys(fps: DataFrame, plan: list[tuple[int, int, int]], probe: bool) -> Data
     arrays = []
     for k, (first, width, radius) in enumerate(plan):
         value = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
-        masks = F.array(*[F.lit(m) for m in (ball(width, radius) if probe else [0])])
+        masks = constants(ball(width, radius) if probe else [0])
         arrays.append(_tagged(masks, value, len(plan), k))
     return fps.select(F.explode(F.concat(*arrays)).alias("key"), "fp", "rep")
 
@@ -108,12 +113,13 @@ def links(fps: DataFrame, count: int, dense: int = DENSE) -> DataFrame:
         index = index.join(heavy, "key", "left_anti")
     a, b = probes.alias("a"), index.alias("b")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
-    found = a.join(b, near).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
+    # the planner does not see how many rows explode() makes, so it must not take the probes for a small side
+    found = a.hint("merge").join(b, near).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
     if not crowded:
         return found
     members = probes.join(heavy, "key", "left_semi").select("fp", "rep").distinct()
-    points = members.select(F.explode(F.array(*[F.lit(_signed(m)) for m in ball(BITS, RADIUS // 2)])).alias("m"), "fp", "rep")
-    points = points.select(F.col("fp").bitwiseXOR("m").alias("point"), "rep")
+    points = members.select(F.explode(constants(map(_signed, ball(BITS, RADIUS // 2)))).alias("m"), "fp", "rep")
+    points = points.select(F.col("fp").bitwiseXOR(F.col("m")).alias("point"), "rep")
     hubs = points.groupBy("point").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
     return found.unionByName(points.join(hubs, "point").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct())
 
