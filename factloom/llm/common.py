@@ -50,16 +50,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``edges``: columns ``u``, ``v`` (long). Returns ``node``, ``component`` (the smallest node that is
     reachable), one row for each node that has an edge to another. Every step contracts edges towards the
     smallest neighbour, so a long chain needs a logarithmic number of rounds. Each round is written to the shared
-    folder. Edges with a null end and loops are dropped.
+    folder, and so are the minima that edges are joined with: joins of two written tables can be split where one node has most of the
+    edges. Edges with a null end and loops are dropped.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, before = stored(e, "edges"), None
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large.where("u <> v").distinct(), "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = stored(small.where("u <> v").distinct(), "edges")

@@ -36,6 +36,7 @@ def duplicates(pages: DataFrame, id_col: str = "page_id", payload_col: str = "ht
     digests = pages.select(F.col(id_col).alias("page_id"), data.alias("data")).where(F.octet_length("data") >= least)
     digests = stored(digests.select("page_id", F.unhex(F.sha2("data", 256)).alias("digest")), "digests")
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stored(first, "firsts")  # read back, so that a join with a digest that many pages share can be split
     return digests.join(first, "digest").where("page_id > refers_to").select("page_id", "refers_to")
 
 
