@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 3500
@@ -68,24 +68,18 @@ def packed_chunks(docs: DataFrame, doc_id: str, text: str, limit: int = CHUNK) -
 
 
 def merged_rows(rows: DataFrame, table: str, ordinal: str, cells: str) -> DataFrame:
-    """Rows whose first cell is empty continue the row before them; their cells are appended. One group is one table of a page."""
-
-    def merge(pdf):
-        import pandas as pd
-
-        out = []
-        for _, row in pdf.sort_values(ordinal, kind="stable").iterrows():
-            own = list(row[cells])
-            if out and own and not (own[0] or "").strip():
-                last = out[-1][2]
-                for i, c in enumerate(own):
-                    if c and c.strip():
-                        last[i:i + 1] = [f"{last[i]} {c}".strip() if i < len(last) else c]
-            else:
-                out.append((row[table], row[ordinal], own))
-        return pd.DataFrame(out, columns=[table, ordinal, cells])
-
-    return rows.select(table, ordinal, cells).groupBy(table).applyInPandas(merge, rows.select(table, ordinal, cells).schema)
+    """Rows whose first cell is empty continue the row before them; their cells are appended, cell by cell.
+
+    A running count of rows that open a new one numbers them; the cells of one number are then joined by position.
+    """
+    opens = (F.coalesce(F.trim(F.get(cells, 0)), F.lit("")) != "").cast("int")
+    w = Window.partitionBy(table).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.select(table, ordinal, cells).withColumn("_row", F.sum(opens).over(w))
+    each = numbered.select(table, "_row", ordinal, F.posexplode_outer(cells).alias("_at", "_cell"))
+    joined = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.when(F.trim("_cell") != "", F.struct(F.col(ordinal).alias("o"), F.trim("_cell").alias("c"))))), lambda x: x["c"]))
+    by_cell = each.groupBy(table, "_row", "_at").agg(F.min(ordinal).alias(ordinal), F.nullif(joined, F.lit("")).alias("_cell"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_cell"))), lambda x: x["_cell"])
+    return by_cell.groupBy(table, "_row").agg(F.min(ordinal).alias(ordinal), ordered.alias(cells)).drop("_row")
 
 
 def melted(df: DataFrame, keys: list[str], columns: dict[str, str], name: str, value: str) -> DataFrame:
