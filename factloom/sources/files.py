@@ -17,10 +17,10 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def read_records(spark: SparkSession, path: str, schema: str, required: list[str], pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined rows) of a folder of JSON documents; a row without a required field or with bad syntax is quarantined."""
+def read_records(spark: SparkSession, path: str, schema: str, required: list[str], pattern: str = "*.json", lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(good rows, quarantined rows) of a folder of JSON documents, one to a file or, with ``lines``, to a line; a row without a required field or with bad syntax is quarantined."""
     wide = f"{schema}, _corrupt string"
-    df = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", pattern).option("multiLine", "true").json(path)
+    df = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", pattern).option("multiLine", str(not lines).lower()).json(path)
     df = df.withColumn("_file", F.col("_metadata.file_name"))
     bad = F.col("_corrupt").isNotNull()
     for c in required:

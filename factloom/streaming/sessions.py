@@ -16,3 +16,18 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str = "15 mi
     """Sliding counts by type."""
     out = events.withWatermark("ts", late).groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count("*").alias("n_events"))
     return out.select(F.col("w.start").alias("started"), "event_type", "n_events")
+
+
+def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Take all that is there into a Parquet table and stop; offsets and state lie beside it, so a restart goes on where it ended.
+
+    ``append`` uses the exactly-once file sink; ``complete`` replaces the table with each batch.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+    query = writer.start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
