@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,9 +19,16 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, query: str, item: str, r
     )
 
 
-def upper_median(column: str):
-    """The element at n // 2 of the sorted values."""
-    return F.element_at(F.array_sort(F.collect_list(column)), (F.floor(F.count(column) / 2) + 1).cast("int"))
+def upper_medians(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """The element at n // 2 of each group's sorted values; nulls do not count.
+
+    Equal values are counted before the shuffle, and a running sum over the distinct ones finds the middle, so no group is gathered.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    running = F.sum("_n").over(group.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.select(*keys, F.col(column).alias(name), running.alias("_upto"), F.sum("_n").over(group).alias("_all"))
+    return placed.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(name).alias(name))
 
 
 def pass_report(cases: DataFrame, dimensions: list[str], passed: str) -> DataFrame:
