@@ -37,11 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hashed_below(key: str, rows: int, bound: int) -> F.Column:
-    """A filter that keeps about ``bound`` of ``rows`` rows, always the same ones, chosen by a hash of ``key``."""
-    if rows <= bound:
-        return F.lit(True)
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / rows))
+def others(df: DataFrame, *taken: str) -> list[F.Column]:
+    """The columns of ``df`` whose names, without regard to case, are not taken."""
+    gone = {t.lower() for t in taken}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in gone]
+
+
+def appended(frame: DataFrame, run, *more: str) -> DataFrame:
+    """``frame`` and the fields ``more`` that ``run`` appends to each Arrow batch. Inside, columns go by place, so names may be of any form."""
+    plain = frame.toDF(*(f"_{i}" for i in range(len(frame.columns))))
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema]
+    return plain.mapInArrow(run, ", ".join([*schema, *more])).toDF(*frame.columns, *(m.split()[0] for m in more))
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import appended, others
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z|([^<]+)|(<)", re.S
 )
@@ -176,7 +178,6 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     Null and empty html give an empty text. Columns of ``pages`` that are called ``text`` or ``n_chars`` give way.
     """
-    names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     extra = [pa.field("text", pa.string()), pa.field("n_chars", pa.int64())]
 
     def run(batches):
@@ -185,13 +186,12 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 part = batch.slice(at, 512)
                 texts = [main_text(h) for h in part.column(part.num_columns - 1).to_pylist()]
                 kept = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=pa.schema([*list(batch.schema)[:-1], *extra])
-                )
+                gone = pa.nulls(part.num_rows, pa.string())  # the html does not go back
+                added = [gone, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*kept, *added], schema=pa.schema([*batch.schema, *extra]))
 
-    frame = pages.select(*names, F.col(html_col).cast("string").alias("_html"))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema][:-1]
-    return frame.mapInArrow(run, ", ".join([*schema, "text string", "n_chars long"]))
+    frame = pages.select(*others(pages, html_col, "text", "n_chars"), F.col(html_col).cast("string").alias("_html"))
+    return appended(frame, run, "text string", "n_chars long").drop("_html")
 
 
 def op4_html(spark, sf_dir):

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import appended, others
+
 #: At most about so many labelled rows are fitted.
 SAMPLE = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_AT = 50, 50, 0.5
@@ -148,21 +150,20 @@ def measured(docs: DataFrame, text_col: str = "text", forest: Forest | None = No
     """All columns of ``docs`` with the five counts and either ``features`` or, given a forest, ``score``."""
     held = docs.sparkSession.sparkContext.broadcast(forest)
     extra = [pa.field(c, pa.int64()) for c in COUNTS] + [pa.field("score", pa.float64()) if forest else pa.field("features", pa.list_(pa.float64()))]
-    names = [c for c in docs.columns if c not in {f.name for f in extra}]
+    frame = docs.select(*others(docs, *(f.name for f in extra)))
+    place = [c.lower() for c in frame.columns].index(text_col.lower())
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                both = [statistics(t) for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
+                both = [statistics(t) for t in part.column(place).to_pylist()]
                 x = np.array([b for _, b in both], np.float64).reshape(-1, len(FEATURES))
                 last = pa.array(held.value.probabilities(x)) if held.value else pa.array(x.tolist(), pa.list_(pa.float64()))
                 counts = [pa.array(c, pa.int64()) for c in zip(*(a for a, _ in both))]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns)), *counts, last], schema=pa.schema([*part.schema, *extra]))
 
-    frame = docs.select(*names)
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema] + [f"{c} long" for c in COUNTS] + ["score double" if forest else "features array<double>"]
-    return frame.mapInArrow(run, ", ".join(schema))
+    return appended(frame, run, *(f"{c} long" for c in COUNTS), "score double" if forest else "features array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Forest:
@@ -182,7 +183,7 @@ def judged(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame
     Null and empty texts fail the base rules. Columns of ``docs`` that have one of these names give way.
     """
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = measured(docs.drop("base_failed", "kept"), text_col, forest)
+    out = measured(docs.select(*others(docs, "base_failed", "kept")), text_col, forest)
     return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= KEEP_AT))
 
 
