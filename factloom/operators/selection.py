@@ -13,6 +13,11 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, r
     return out if rank else out.drop(name)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A hint to broadcast ``df`` if it has no more than ``rows`` rows; beyond that it joins by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def latest_version(df: DataFrame, keys: list[str], as_of: str, tie: str, versions: str = "versions") -> DataFrame:
     """The latest row of each key (ties: the smallest ``tie``) with all versions, newest first, and their number.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import tokens
-from factloom.operators.selection import suppressed
+from factloom.operators.selection import broadcast_if_small, suppressed
 
 # Expansions of query words, hints of the two source groups, anchors that a passage should share with its question.
 EXPANSIONS = {
@@ -56,11 +56,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     n, mean = corpus.agg(F.count("*"), F.avg("dl")).first()
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     words = asked.select("term").distinct()
-    tf = corpus.select("doc_id", "dl", F.explode("k").alias("term")).join(words, "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    tf = corpus.select("doc_id", "dl", F.explode("k").alias("term")).join(broadcast_if_small(words), "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).persist()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(max(n, 1))) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest(F.col("dl"), F.lit(1)) / F.lit(max(float(mean or 0), 1.0))))
-    return tf.join(df, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest(F.col("dl"), F.lit(1)) / F.lit(max(float(mean or 0), 1.0))))
+    weights = asked.join(df.select("term", idf.alias("idf")), "term")
+    return tf.join(broadcast_if_small(weights), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def word_grams(text: Column) -> Column:
@@ -110,7 +111,7 @@ def tfidf(docs: DataFrame, queries: DataFrame, grams=word_grams) -> DataFrame:
     asked = asked.join(idf, "g").select("query_id", "g", (F.col("tf") * F.col("idf")).alias("q"))
     qn = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query_id")))
     asked = asked.select("query_id", "g", (F.col("q") / qn).alias("q"))
-    return index.join(asked, "g").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("score"))
+    return index.join(broadcast_if_small(asked), "g").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("score"))
 
 
 def top_n(scores: DataFrame, n: int, digits: int = 9) -> DataFrame:
