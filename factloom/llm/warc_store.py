@@ -26,7 +26,7 @@ LEAST, PLACES, RECORDS_PER_FILE = 100, 1 << 20, 4000
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 HEAD_LIMIT = 1 << 14
 CANDIDATES = (
-    "file string, start long, next long, kind string, page_id long, refers_to long, declared string, payload_bytes long, payload_digest string"
+    "path string, start long, next long, kind string, page_id long, refers_to long, declared string, payload_bytes long, payload_digest string"
 )
 
 
@@ -101,7 +101,9 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     before = spark.conf.get(spark_conf)
     spark.conf.set(spark_conf, "4")  # few files at once: each is a whole archive
     try:
-        return stored(files.mapInArrow(run, CANDIDATES), "candidates")
+        found = files.mapInArrow(run, CANDIDATES)
+        # joins carry a number for the file: paths compress so well that a side of a join looks far smaller than it is
+        return stored(found.withColumn("file", F.xxhash64("path")), "candidates")
     finally:
         spark.conf.set(spark_conf, before)
 
@@ -130,7 +132,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     found = candidates(spark, path)
     records = found.join(reachable(found.select("file", "start", "next")), ["file", "start"])
     sound = F.when(F.col("kind") == "revisit", F.col("declared")).when(F.col("declared") == F.col("payload_digest"), F.col("payload_digest"))
-    sound = F.coalesce(sound, F.raise_error(F.format_string("payload of %s at %d differs from its digest", "file", "start")).cast("string"))
+    sound = F.coalesce(sound, F.raise_error(F.format_string("payload of %s at %d differs from its digest", "path", "start")).cast("string"))
     rows = stored(records.select("page_id", "payload_bytes", sound.alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"), "records")
     sizes = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("size"))
     back = rows.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, "refers_to")
