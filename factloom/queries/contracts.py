@@ -264,3 +264,41 @@ def d18_source_versions(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = t("events").select("user_id", "event_id", "ts", (~F.col("event_type").eqNullSafe(F.lag("event_type").over(w))).cast("int").alias("changed"))
     return rows.select("user_id", "event_id", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("version"))
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations), n AS (SELECT conv_id, ws[1] AS word, min(turn) AS a, max(turn) AS b FROM w GROUP BY ALL),
+ p AS (SELECT conv_id, turn, i, ws[i] AS word FROM w, unnest(range(2, len(ws) + 1)) r(i)), s AS (SELECT conv_id, turn, min(i) AS stop FROM p JOIN n USING (conv_id, word) WHERE a <> turn OR b <> turn GROUP BY ALL)
+SELECT w.conv_id, w.turn, array_to_string(ws[1:coalesce(stop - 1, len(ws))], ' ') AS clipped FROM w LEFT JOIN s USING (conv_id, turn)"""
+)
+def w17_clipped_at_siblings(t):
+    """W-17: a description is clipped where a sibling's name begins.
+
+    Names are reduced to one row for each group and word with their first and last owner, so a word joins at most one row.
+    """
+    w = t("conversations").select("conv_id", "turn", F.split("text", " ").alias("ws"))
+    names = w.groupBy("conv_id", F.get("ws", 0).alias("word")).agg(F.min("turn").alias("a"), F.max("turn").alias("b"))
+    places = w.select("conv_id", "turn", F.posexplode("ws").alias("i", "word")).where("i > 0")
+    stops = places.join(names, ["conv_id", "word"]).where("a <> turn OR b <> turn").groupBy("conv_id", "turn").agg(F.min("i").alias("stop"))
+    out = w.join(stops, ["conv_id", "turn"], "left")
+    return out.select("conv_id", "turn", F.concat_ws(" ", F.slice("ws", F.lit(1), F.coalesce("stop", F.size("ws")))).alias("clipped"))
+
+
+@query(
+    r"""SELECT page_id, contains(regexp_replace(html, '\s+', '', 'g'), '<article>') AND contains(regexp_replace(html, '\s+', '', 'g'), '<h1>') AS has_all, contains(regexp_replace(html, '\s+', '', 'g'), '<aside>') OR contains(regexp_replace(html, '\s+', '', 'g'), '<footer>') AS has_any FROM pages"""
+)
+def f13_required_values(t):
+    """F-13: any or all of the keywords in a text without white space."""
+    flat = F.regexp_replace("html", r"\s+", "")
+    has = lambda words, f: f(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("flat"), w))
+    return t("pages").select("page_id", flat.alias("flat")).select("page_id", has(["<article>", "<h1>"], F.forall).alias("has_all"), has(["<aside>", "<footer>"], F.exists).alias("has_any"))
+
+
+@query(
+    r"""SELECT page_id, 'p' || lpad(CAST(page_id AS VARCHAR), 3, '0') || '_b' || lpad(CAST(i AS VARCHAR), 4, '0') AS block_id, length(blocks[i]) AS n FROM (SELECT page_id, [x for x in regexp_extract_all(html, '<p>([^<]+)</p>', 1) if trim(x) <> ''] AS blocks FROM pages), unnest(range(1, len(blocks) + 1)) r(i)"""
+)
+def s08_layout_blocks(t):
+    """S-07, S-08: a page's blocks in order with their ids; blank ones are dropped."""
+    blocks = F.filter(F.regexp_extract_all("html", F.lit("<p>([^<]+)</p>"), 1), lambda x: F.trim(x) != "")
+    rows = t("pages").select("page_id", F.posexplode(blocks).alias("i", "block"))
+    return rows.select("page_id", F.format_string("p%03d_b%04d", "page_id", F.col("i") + 1).alias("block_id"), F.length("block").cast("long").alias("n"))
