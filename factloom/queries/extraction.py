@@ -175,3 +175,42 @@ def d20_run_metrics(t):
     c = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     w = Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type").rowsBetween(Window.unboundedPreceding, 0)
     return c.withColumn("running", F.sum("n").over(w))
+
+
+@query(
+    """WITH b AS (SELECT item_id, list_distinct([x for x in string_split_regex(lower(text), '[^a-z]+') if length(x) >= 6]) AS need FROM benchmark), h AS (SELECT item_id - 1 AS item_id, [x for x in string_split_regex(lower(text), '[^a-z]+')] AS have FROM benchmark)
+SELECT item_id, round(len(list_intersect(need, have)) / greatest(len(need), 1), 6) AS share, len(need) > 0 AND len(list_intersect(need, have)) >= 0.5 * len(need) AS covered FROM b JOIN h USING (item_id)"""
+)
+def a16_fact_coverage(t):
+    """A-16: a fact is covered if half of its telling words are there."""
+    words = F.split(F.lower("text"), "[^a-z]+")
+    need = t("benchmark").select("item_id", F.array_distinct(F.filter(words, lambda x: F.length(x) >= 6)).alias("need"))
+    have = t("benchmark").select((F.col("item_id") - 1).alias("item_id"), words.alias("have"))
+    got, n = F.size(F.array_intersect("need", "have")), F.size("need")
+    return need.join(have, "item_id").select("item_id", F.round(got / F.greatest(n, F.lit(1)), 6).alias("share"), ((n > 0) & (got >= 0.5 * n)).alias("covered"))
+
+
+@query(
+    """SELECT user_id, event_type, min(place) AS place, count(*) AS n FROM (SELECT user_id, event_type, 0 AS place FROM events WHERE event_id % 5 = 0 UNION ALL SELECT user_id, event_type, 1 FROM events WHERE event_id % 2 = 0) GROUP BY ALL"""
+)
+def u05_contexts_united(t):
+    """U-05: contexts of two rounds without repeats, those of the new round first."""
+    new, old = t("events").where("event_id % 5 = 0"), t("events").where("event_id % 2 = 0")
+    both = new.select("user_id", "event_type", F.lit(0).alias("place")).unionByName(old.select("user_id", "event_type", F.lit(1).alias("place")))
+    return both.groupBy("user_id", "event_type").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+
+
+@query(
+    """WITH f AS (SELECT p_partkey, 'fee' AS kind, 'total' AS name, min(l_tax) AS value FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY ALL),
+ p AS (SELECT p_partkey, 'performance' AS kind, unnest(['1Y', '2Y']) AS name, unnest([p_retailprice, CASE WHEN p_size % 2 = 0 THEN p_retailprice * 2 END]) AS value FROM part)
+SELECT * FROM (SELECT * FROM f UNION ALL SELECT * FROM p) WHERE value IS NOT NULL AND NOT (kind = 'fee' AND value >= 0.08)"""
+)
+def x11_table_facts(t):
+    """X-11, X-20: fee and performance facts in one shape, then the cleaning rules in their order."""
+    from factloom.operators.extraction import melted
+
+    fees = t("lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_tax").alias("value"))
+    fees = fees.join(t("part").select("p_partkey"), "p_partkey", "left_semi").select("p_partkey", F.lit("fee").alias("kind"), F.lit("total").alias("name"), "value")
+    wide = t("part").select("p_partkey", F.lit("performance").alias("kind"), F.col("p_retailprice").alias("y1"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice") * 2).alias("y2"))
+    facts = fees.unionByName(melted(wide, ["p_partkey", "kind"], {"y1": "1Y", "y2": "2Y"}, "name", "value"))
+    return facts.where(F.col("value").isNotNull()).where(~((F.col("kind") == "fee") & (F.col("value") >= 0.08)))

@@ -67,3 +67,14 @@ def d17_streamed_windows(t, spark, sf_dir):
     """Section 2.12: tumbling windows over a stream of files, run to the end of what is there."""
     stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return S.run_available(S.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", "1 hour"), shared_path(spark, "windows"), "complete").withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
+@query("SELECT item_id, length(text) AS n, CAST(item_id % 3 AS INTEGER) AS level FROM benchmark", session=True)
+def s17_case_table(t, spark, sf_dir):
+    """S-17, S-18: a table of cases with a header; blank rows are dropped, quoted line ends stay."""
+    path = shared_path(spark, "cases")
+    rows = t("benchmark").select(F.col("item_id").cast("string").alias("item_id"), "text", (F.col("item_id") % 3).cast("string").alias("level"))
+    blank = rows.where("item_id % 4 = 0").select(F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("level"))
+    files.write_csv(rows.unionByName(blank), path)
+    back = spark.read.schema("item_id long, text string, level int").option("header", "true").option("enforceSchema", "false").option("multiLine", "true").option("escape", "\\").csv(path)
+    return back.where(F.col("item_id").isNotNull()).select("item_id", F.length("text").cast("long").alias("n"), "level")
