@@ -167,8 +167,8 @@ def measured(docs: DataFrame, text_col: str = "text", forest: Forest | None = No
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Forest:
-    """Fit on up to about ``sample`` labelled rows, chosen by a hash of the id. Null labels and labels without a document are not used."""
-    own = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), "quality").dropDuplicates(["label_id"])
+    """Fit on up to about ``sample`` labelled rows, chosen by a hash of the id. Null labels and labels without a document are not used; of several labels of one id the smaller counts."""
+    own = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min("quality").alias("quality"))
     share = min(1.0, sample / max(1, own.count()))
     chosen = own.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))  # bounded, so its join is a broadcast
     joined = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id")

@@ -31,31 +31,35 @@ CANDIDATES = (
 
 
 def duplicates(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = LEAST) -> DataFrame:
-    """``page_id``, ``refers_to`` of every page that revisits another one: equal payload of at least ``least`` bytes, smaller id first."""
+    """``page_id, digest, refers_to`` of every page that revisits another one: equal payload of at least ``least`` bytes, smaller id first."""
     data = F.encode(F.coalesce(payload_col, F.lit("")), "utf-8")
     digests = pages.select(F.col(id_col).alias("page_id"), data.alias("data")).where(F.octet_length("data") >= least)
     digests = stored(digests.select("page_id", F.unhex(F.sha2("data", 256)).alias("digest")), "digests")
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = stored(first, "firsts")  # read back, so that a join with a digest that many pages share can be split
-    return digests.join(first, "digest").where("page_id > refers_to").select("page_id", "refers_to")
+    return digests.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = LEAST) -> None:
-    """One record for each page into files under ``path``. Null payloads and addresses are empty. Page ids must be unique."""
+    """One record for each page into files under ``path``. Null payloads and addresses are empty.
+
+    Rows that repeat a page id are written each for itself; an equal payload under the same id is no revisit. Other columns are not read.
+    """
     revisits = stored(duplicates(pages, id_col, payload_col, least), "revisits")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
     marked = revisits.select(place("page_id").alias("place")).distinct()  # at most PLACES rows, so it may be broadcast
     page = pages.select(
         F.col(id_col).alias("page_id"), F.coalesce(F.regexp_replace(uri_col, r"\s", "%20"), F.lit("")).alias("uri"), F.coalesce(payload_col, F.lit("")).alias("payload")
     )
-    placed = page.withColumn("place", place("page_id"))
+    digest = F.unhex(F.sha2(F.encode("payload", "utf-8"), 256))
+    placed = page.withColumn("digest", digest).withColumn("place", place("page_id"))
     alone = placed.join(F.broadcast(marked), "place", "left_anti").withColumn("refers_to", F.lit(None).cast("long"))
-    maybe = placed.join(F.broadcast(marked), "place", "left_semi").join(revisits, "page_id", "left").select(*alone.columns)
+    maybe = placed.join(F.broadcast(marked), "place", "left_semi").join(revisits, ["page_id", "digest"], "left").select(*alone.columns)
     rows = alone.unionByName(maybe)
     body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(""))
     common = F.format_string(
         "WARC-Record-ID: <urn:page:%d>\r\nWARC-Target-URI: %s\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha256:%s\r\nContent-Length: %d",
-        "page_id", "uri", F.sha2(F.encode("payload", "utf-8"), 256), F.octet_length(body),
+        "page_id", "uri", F.lower(F.hex("digest")), F.octet_length(body),
     )
     kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(
         F.format_string("revisit\r\nWARC-Profile: identical-payload-digest\r\nWARC-Refers-To: <urn:page:%d>", "refers_to")
@@ -134,8 +138,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     sound = F.when(F.col("kind") == "revisit", F.col("declared")).when(F.col("declared") == F.col("payload_digest"), F.col("payload_digest"))
     sound = F.coalesce(sound, F.raise_error(F.format_string("payload of %s at %d differs from its digest", "path", "start")).cast("string"))
     rows = stored(records.select("page_id", "payload_bytes", sound.alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"), "records")
-    sizes = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("size"))
-    back = rows.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, "refers_to")
+    sizes = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("size")).distinct()
+    back = rows.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, ["refers_to", "payload_digest"])
     back = back.select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return rows.where("record_type = 'response'").unionByName(back)
 

@@ -69,3 +69,12 @@ def test_empty_table(spark):
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     W.write_archives(spark.createDataFrame([], SCHEMA), path)
     assert W.read_archives(spark, path).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    long, other = "l" * 120, "o" * 130
+    rows = [(1, "u", long), (1, "u", long), (2, "u", long), (2, "u", long), (2, "u", other), (3, "u", other), (None, "u", "n")]
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    W.write_archives(spark.createDataFrame(rows, SCHEMA), path)
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in W.read_archives(spark, path).collect())
+    assert got == [(0, "response", 0, 1), (1, "response", 0, 120), (1, "response", 0, 120), (2, "response", 0, 130), (2, "revisit", 1, 120), (2, "revisit", 1, 120), (3, "revisit", 2, 130)]
