@@ -214,3 +214,14 @@ def x11_table_facts(t):
     wide = t("part").select("p_partkey", F.lit("performance").alias("kind"), F.col("p_retailprice").alias("y1"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice") * 2).alias("y2"))
     facts = fees.unionByName(melted(wide, ["p_partkey", "kind"], {"y1": "1Y", "y2": "2Y"}, "name", "value"))
     return facts.where(F.col("value").isNotNull()).where(~((F.col("kind") == "fee") & (F.col("value") >= 0.08)))
+
+
+@query(
+    """SELECT l_orderkey, CAST(floor(l_quantity / 10) AS BIGINT) AS row, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_extendedprice, l_partkey, l_suppkey, l_returnflag || l_linestatus) AS line, count(*) AS n FROM lineitem GROUP BY ALL"""
+)
+def x10_rows_from_boxes(t):
+    """X-10: text boxes to rows: boxes of one band of heights are a row, in the order of their left edges."""
+    word = F.concat("l_returnflag", "l_linestatus")
+    box = F.struct("l_extendedprice", "l_partkey", "l_suppkey", word.alias("word"))
+    rows = t("lineitem").groupBy("l_orderkey", F.floor(F.col("l_quantity") / 10).cast("long").alias("row")).agg(F.array_sort(F.collect_list(box)).alias("b"), F.count("*").alias("n"))
+    return rows.select("l_orderkey", "row", F.concat_ws(" ", F.transform("b", lambda x: x["word"])).alias("line"), "n")
