@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Grades from 1 (highest risk) to 6 (lowest).
+# Grades from 1 (highest risk) to 6 (lowest), the buckets of each tolerance, and the patterns of affirmed and denied eligibility.
 GRADE_LABELS = {1: "매우 높은 위험", 2: "높은 위험", 3: "다소 높은 위험", 4: "보통 위험", 5: "낮은 위험", 6: "매우 낮은 위험"}
 GRADE_BUCKETS = {1: "VERY_AGGRESSIVE", 2: "AGGRESSIVE", 3: "MODERATE_AGGRESSIVE", 4: "MODERATE", 5: "CONSERVATIVE", 6: "VERY_CONSERVATIVE"}
 TOLERANCE = {

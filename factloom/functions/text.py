@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a word of the index is, what a number is, and the units that a number may carry.
 TOKEN = r"[A-Za-z]+|[가-힣]{2,}|\d+(?:\.\d+)?"
 NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
+UNITS = r"억\s*원|만\s*원|원|%|퍼센트|영업일|개월|등급|년|월|일|세|시간|분|초|개|건"
 
 
 def tokens(text: Column) -> Column:
@@ -122,7 +124,7 @@ def severity(message: Column) -> Column:
 def numeric_facts(text: Column) -> Column:
     """Distinct (value, unit) of a text's numbers: scaled Korean won units, percent in words or as a fraction of 100."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"100\s*분의\s*(\d+(?:\.\d+)?)", "$1%")
-    unit = r"억\s*원|만\s*원|원|%|퍼센트|영업일|개월|등급|년|월|일|세|시간|분|초|개|건"
+    unit = UNITS
     raw = F.regexp_extract_all(plain, F.lit(rf"((?<![A-Za-z0-9])[+-]?\d[\d,]*(?:\.\d+)?\s*(?:{unit})?)"), 1)
 
     def fact(x):

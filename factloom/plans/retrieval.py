@@ -23,6 +23,10 @@ PRODUCT_HINTS = ["상품", "펀드", "ETF", "ETN", "리츠", "보수", "수수
 ANCHORS = ["DB", "DC", "IRP", "연금저축", "세액공제", "중도인출", "연금소득세", "퇴직소득세"]
 DEFINING = ["란", "이란", "의미", "말합니다", "합니다", "계산", "산정", "적립", "운용", "부담금"]
 ACCOUNTS = ["DB", "DC", "IRP", "연금저축"]
+LIST_MARKS = ["질문 리스트", "질문리스트"]
+COMPARING, TAXING, WITHDRAWING = ["비교", "차이"], ["세액공제", "세금", "절세"], ["중도인출"]
+ASK_ACCOUNT, ASK_TAX, ASK_WITHDRAWAL = " 정의 운용 주체 산정 방식 제한", " 공제 대상 공제 한도 공제율 적용 조건", " 허용 사유 요건 절차"
+CLAUSE_ENDS = r"[?!.]|(?:\s+그리고\s+)|(?:\s+또\s+)|(?:\s+하면서\s+)|(?:\s+및\s+)"
 
 
 def expanded(question: Column, expansions: dict[str, list[str]] = EXPANSIONS) -> Column:
@@ -35,14 +39,14 @@ def variants(question: Column) -> Column:
     """Up to seven distinct readings of a question: itself, expanded, its clauses, and templates for comparisons and tax or withdrawal questions."""
     q = F.trim(F.regexp_replace(question, r"\s+", " "))
     has = lambda *w: F.exists(F.array(*map(F.lit, w)), lambda x: F.contains(q, x))
-    clauses = F.filter(F.transform(F.split(q, r"[?!.]|(?:\s+그리고\s+)|(?:\s+또\s+)|(?:\s+하면서\s+)|(?:\s+및\s+)"), F.trim), lambda c: F.length(c) >= 4)
+    clauses = F.filter(F.transform(F.split(q, CLAUSE_ENDS), F.trim), lambda c: F.length(c) >= 4)
     none = F.array().cast("array<string>")
     out = F.array(q, expanded(q))
     out = F.concat(out, F.when(F.size(clauses) > 1, F.slice(clauses, 1, 4)).otherwise(none))
     named = F.filter(F.array(*map(F.lit, ACCOUNTS)), lambda a: F.contains(F.lower(q), F.lower(a)))
-    out = F.concat(out, F.when(has("비교", "차이"), F.transform(named, lambda a: F.concat(a, F.lit(" 정의 운용 주체 산정 방식 제한")))).otherwise(none))
-    out = F.concat(out, F.when(has("세액공제", "세금", "절세"), F.array(F.concat(q, F.lit(" 공제 대상 공제 한도 공제율 적용 조건")))).otherwise(none))
-    out = F.concat(out, F.when(has("중도인출"), F.array(F.concat(q, F.lit(" 허용 사유 요건 절차")))).otherwise(none))
+    out = F.concat(out, F.when(has(*COMPARING), F.transform(named, lambda a: F.concat(a, F.lit(ASK_ACCOUNT)))).otherwise(none))
+    out = F.concat(out, F.when(has(*TAXING), F.array(F.concat(q, F.lit(ASK_TAX)))).otherwise(none))
+    out = F.concat(out, F.when(has(*WITHDRAWING), F.array(F.concat(q, F.lit(ASK_WITHDRAWAL)))).otherwise(none))
     return F.slice(F.array_distinct(F.filter(out, lambda v: v != "")), 1, 7)
 
 
@@ -142,7 +146,7 @@ def content_multiplier(question: Column, text: Column) -> Column:
     """Punishes lists of questions; rewards covered words, shared anchors and defining passages."""
     marks = F.length(F.regexp_replace(text, r"[^?？]", ""))
     numbered = F.length(F.regexp_replace(text, r"[^①②③④⑤⑥⑦⑧⑨⑩]", ""))
-    listed = F.contains(text, F.lit("질문 리스트")) | F.contains(text, F.lit("질문리스트"))
+    listed = F.exists(F.array(*map(F.lit, LIST_MARKS)), lambda m: F.contains(text, m))
     out = F.when(listed, 0.45).when((marks >= 3) | (numbered >= 4), 0.62).otherwise(1.0)
     terms = F.filter(tokens(question), lambda x: F.length(x) >= 2)
     covered = F.get(F.transform(F.array(F.lower(text)), lambda low: F.size(F.filter(terms, lambda x: F.contains(low, x)))), 0)
