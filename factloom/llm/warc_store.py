@@ -7,7 +7,8 @@ ends a WARC record, so a lost executor costs its unfinished file alone.
 
 Reading: a task scans a file for the record magic and emits a candidate for each place, with the offset of its
 successor by the declared length. Payloads may hold the magic too. Starting from offset zero, pointer jumping doubles the
-distance of every candidate's pointer each round and keeps what is reachable; everything else is no record.
+distance of every candidate's pointer each round and keeps what is reachable; everything else is no record. The file's
+end is a candidate too: a chain that does not reach it is damage.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from factloom.llm.common import shared_dir, stored
 
 LEAST, PLACES, RECORDS_PER_FILE = 100, 1 << 20, 4000
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-HEAD_LIMIT = 1 << 14
 CANDIDATES = (
     "path string, start long, next long, kind string, page_id long, refers_to long, declared string, payload_bytes long, payload_digest string"
 )
@@ -69,23 +69,45 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
 
 
 def scan(content: bytes, file: str):
-    """Candidates of one file: every magic that a whole header with a length follows."""
+    """Candidates of one file: every magic that a whole header with a length follows, and the file's end (``next`` -1).
+
+    A header is as long as it is. Magics before the same header end share its lines, so each byte is split once.
+    """
+    yield file, len(content), -1, None, None, None, None, None, None
+    group, stop = [], -1
     for m in MAGIC.finditer(content):
-        stop = content.find(b"\r\n\r\n", m.end(), m.end() + HEAD_LIMIT)
-        if stop < 0:
-            continue
-        head = {}
-        for line in content[m.end() : stop].split(b"\r\n"):
-            name, _, value = line.partition(b":")
-            head.setdefault(name.strip().lower(), value.strip().decode("utf-8", "replace"))
+        if m.end() > stop:
+            yield from _headed(content, file, group, stop)
+            group, stop = [], content.find(b"\r\n\r\n", m.end())
+            if stop < 0:
+                return
+        group.append((m.start(), m.end()))
+    yield from _headed(content, file, group, stop)
+
+
+def _page(value: str | None) -> int | None:
+    """The page id of a record's URN; null if it is none or no 64-bit number."""
+    found = re.fullmatch(r"<urn:page:(-?\d{1,19})>", value or "")
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
+
+
+def _headed(content: bytes, file: str, group: list[tuple[int, int]], stop: int):
+    """The candidates of the magics ``group``, whose headers all end at ``stop``."""
+    head, upto, digests = {}, stop, {}
+    for start, at in reversed(group):  # a header's first line of a name counts, so earlier lines win
+        lines = content[at:upto].split(b"\r\n")
+        for name, _, value in (line.partition(b":") for line in reversed(lines)):
+            head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+        upto = at
         length = head.get(b"content-length", "")
         if not length.isdigit() or len(length) > 15:
             continue
         begin, n = stop + 4, int(length)
-        number = lambda key: int(x[1]) if (x := re.fullmatch(r"<urn:page:(-?\d{1,18})>", head.get(key, ""))) else None
+        if n not in digests:
+            digests = {n: sha256(memoryview(content)[begin : begin + n]).hexdigest()}
         yield (
-            file, m.start(), begin + n + 4, head.get(b"warc-type"), number(b"warc-record-id"), number(b"warc-refers-to"),
-            head.get(b"warc-payload-digest", "").removeprefix("sha256:"), n, sha256(memoryview(content)[begin : begin + n]).hexdigest(),
+            file, start, begin + n + 4, head.get(b"warc-type"), _page(head.get(b"warc-record-id")), _page(head.get(b"warc-refers-to")),
+            head.get(b"warc-payload-digest", "").removeprefix("sha256:"), n, digests[n],
         )
 
 
@@ -131,16 +153,21 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records under ``path``: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
     A revisit's size is that of the response that it names. An empty folder gives no rows. Raises if a payload
-    differs from its record's digest.
+    differs from its record's digest, if a file's chain does not reach the file's end, or if a revisit's response is missing.
     """
     found = candidates(spark, path)
-    records = found.join(reachable(found.select("file", "start", "next")), ["file", "start"])
+    seen = reachable(found.select("file", "start", "next"))
+    broken = found.where("next = -1").join(seen, ["file", "start"], "left_anti").select("path", "start").first()
+    if broken:
+        raise ValueError(f"the records of {broken.path} do not reach its end at {broken.start}")
+    records = found.where("next <> -1").join(seen, ["file", "start"])
     sound = F.when(F.col("kind") == "revisit", F.col("declared")).when(F.col("declared") == F.col("payload_digest"), F.col("payload_digest"))
     sound = F.coalesce(sound, F.raise_error(F.format_string("payload of %s at %d differs from its digest", "path", "start")).cast("string"))
     rows = stored(records.select("page_id", "payload_bytes", sound.alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"), "records")
     sizes = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("size")).distinct()
-    back = rows.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, ["refers_to", "payload_digest"])
-    back = back.select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    back = rows.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, ["refers_to", "payload_digest"], "left")
+    size = F.coalesce("size", F.raise_error(F.format_string("page %d revisits %d, whose response is missing", "page_id", "refers_to")).cast("long"))
+    back = back.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return rows.where("record_type = 'response'").unionByName(back)
 
 

@@ -78,3 +78,32 @@ def test_repeated_and_null_ids(spark):
     W.write_archives(spark.createDataFrame(rows, SCHEMA), path)
     got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in W.read_archives(spark, path).collect())
     assert got == [(0, "response", 0, 1), (1, "response", 0, 120), (1, "response", 0, 120), (2, "response", 0, 130), (2, "revisit", 1, 120), (2, "revisit", 1, 120), (3, "revisit", 2, 130)]
+
+
+def test_long_headers_and_ids_of_19_digits(spark):
+    big, long = (1 << 63) - 1, "l" * 150
+    rows = [(1, "data:," + "u" * 40_000, "first"), (2, "http://x/WARC/1.1", long), (big - 1, "v" * 20_000, long), (big, "u", long), (-(1 << 63), "u", "least")]
+    got, _ = round_trip(spark, rows)
+    same(got, rows)
+
+
+def test_headers_take_linear_time():
+    whole = list(W.scan(b"WARC/1.1\r\n" * 100_000 + b"Content-Length: 3\r\n\r\nabc\r\n\r\n", "f"))
+    assert len(whole) == 100_001 and len({x[8] for x in whole}) == 2
+    assert len(list(W.scan(b"WARC/1.1\r\n" * 100_000, "f"))) == 1
+
+
+RECORD = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha256:" + hashlib.sha256(b"abc").hexdigest().encode() + b"\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+
+
+@pytest.mark.parametrize("content", [RECORD % 1 + b"x" + RECORD % 2, b"x" + RECORD % 1, RECORD % 1 + (RECORD % 2)[:40], b"no record"])
+def test_a_broken_chain_is_found(spark, tmp_path, content):
+    (tmp_path / "a.warc").write_bytes(content)
+    with pytest.raises(ValueError, match="do not reach its end"):
+        W.read_archives(spark, str(tmp_path)).collect()
+
+
+def test_a_revisit_without_its_response_is_found(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes((RECORD % 1).replace(b"response", b"revisit\r\nWARC-Refers-To: <urn:page:7>"))
+    with pytest.raises(Exception, match="whose response is missing"):
+        W.read_archives(spark, str(tmp_path)).collect()
