@@ -4,7 +4,8 @@ A page's text falls into blocks, each with its root-to-leaf tag path (tags with
 punctuation are summed per path and divided by the path's number of blocks; the two ratios are fused, smoothed over
 neighbouring blocks in page order, averaged per path again, and paths at or above a share of their deviation are content.
 Paths under what is boilerplate by its nature (menus, forms, adverts, reader comments ...) weigh nothing. Where a
-page says which element is its article, paths inside need no more than not to be lists of links.
+page states which element is its article and that holds most of the text outside links, this weighs in the ratios: the bar
+falls for paths inside, linked headings and lists included, and rises by the weight for paths outside.
 """
 
 from __future__ import annotations
@@ -41,7 +42,10 @@ MARKED = frozenset(
 )
 OUTSIDE = frozenset(["header", "topbar", "site-header"])
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
+HEADING = re.compile(r"h[1-6](?:\.|$)")
 THRESHOLD = 0.5
+#: What a stated article weighs in the fused ratio.
+WEIGHT = 20.0
 
 
 class _Element:
@@ -155,15 +159,18 @@ def content_paths(found: list[tuple[str, str, int, bool, bool]], threshold: floa
         if not never:
             mean[path].append(v)
     cut = threshold * float(np.std(line))
-    chosen = {p for p, v in mean.items() if np.mean(v) >= cut and fused[p] > 0}
+    unlinked = {p: s[0] - s[3] for p, s in sums.items()}
     stated = {p for p, _, _, never, article in found if article and not never}
-    lists = {p for p in stated if sums[p][3] > 0.6 * sums[p][0] and not sums[p][1]}
-    if stated - lists:
-        return stated - lists
-    if chosen:  # headings and short blocks that stand beside chosen paragraphs
+    trusted = 2 * sum(unlinked[p] for p in stated) > sum(unlinked.values())
+    if trusted:
+        bar = cut + max(cut, float(np.log(WEIGHT)))
+        chosen = {p for p, v in mean.items() if min(np.mean(v), np.log1p(fused[p])) >= bar and p not in stated}  # its own ratio too: the article is its neighbour
+    else:
+        chosen = {p for p, v in mean.items() if np.mean(v) >= cut and fused[p] > 0}
+    if chosen:  # headings, linked ones too, and short blocks that stand beside chosen paragraphs
         homes = {p.rpartition("/")[0] for p in chosen}
-        chosen |= {p for p in fused if p.rpartition("/")[0] in homes and fused[p] > 0}
-    return chosen or {p for p in fused if fused[p] > 0}
+        chosen |= {p for p in fused if p.rpartition("/")[0] in homes and (fused[p] > 0 or HEADING.match(p.rpartition("/")[2]))}
+    return chosen | stated if trusted else chosen or {p for p in fused if fused[p] > 0}
 
 
 def main_text(html: str | None) -> str:

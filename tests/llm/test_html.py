@@ -64,3 +64,23 @@ def test_nulls_clashing_columns_and_empty_tables(spark):
     rows = sorted(H.extract(df).collect())
     assert [(r.page_id, r.text, r.n_chars) for r in rows] == [(1, "", 0), (2, "One text, here.", 15), (2, "One text, here.", 15)]
     assert H.extract(df.where("false")).count() == 0
+
+
+def test_an_article_that_is_only_a_teaser_does_not_hide_the_text():
+    page = f"<body><article class=card><h3><a href=/x>Read</a></h3></article><div class=text><p>{LONG}</p><p>{LONG} Two.</p></div></body>"
+    assert H.main_text(page) == f"{LONG}\n\n{LONG} Two."
+    text = H.main_text(page.replace("</h3>", "</h3><p>Short teaser</p>"))
+    assert f"{LONG}\n\n{LONG} Two." in text
+
+
+def test_text_beside_an_article_is_kept_by_its_ratio():
+    paragraphs = "".join(f"<p>{LONG} {i}.</p>" for i in range(6))
+    text = H.main_text(f"<body><article><p>{LONG}</p>{paragraphs}</article><div class=more>{paragraphs}</div></body>")
+    assert text.count(LONG) == 13
+    assert "By me" not in H.main_text(f"<body><article><p>{LONG}</p>{paragraphs}</article><p class=by>By me</p></body>")
+
+
+def test_linked_headings_and_lists_of_an_article_stay():
+    page = f"<article><h1><a href=x>Title</a></h1><p>{LONG}</p><ul><li><a href=a>Source one</a><li><a href=b>Source two</a></ul></article>"
+    assert H.main_text(page) == f"Title\n\n{LONG}\n\nSource one\n\nSource two"
+    assert H.main_text(f"<div class=text><h1><a href=x>Title</a></h1><p>{LONG}</p><p>{LONG}</p></div>") == f"Title\n\n{LONG}\n\n{LONG}"
