@@ -33,32 +33,71 @@ INLINE = frozenset(
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}
 }
-#: Elements that never hold main text, and names in class, id or role that mark them so.
+#: Elements that never hold main text, and whole names in class, id or role that mark them so, alone or as one of the compounds.
 NEVER = frozenset("head nav aside footer form button select option datalist script style noscript template svg iframe object canvas dialog menu textarea title".split())
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs masthead footer "
     "sidebar side aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended "
     "comment comments commentlist comment-list disqus replies respond pagination pager toolbar complementary contentinfo hidden".split()
 )
-OUTSIDE = frozenset(["header", "topbar", "site-header"])
+COMMENTS = frozenset("comment comments commentlist comment-list disqus replies respond".split())
+KINDS = (
+    "ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget cookie cookies consent gdpr "
+    "notice alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comment comments pagination pager toolbar"
+).split()
+PARTS = "area bar block blocks box banner button buttons container content form icons inner items label link links list menu notice panel popup posts articles stories section slot top unit widget widgets wrap wrapper".split()
+PLACES = "site page main global top bottom left right primary secondary footer header sidebar nav user post article entry google dfp".split()
+COMPOUNDS = frozenset([f"{k}-{p}" for k in KINDS for p in PARTS] + [f"{p}-{k}" for k in KINDS for p in PLACES])
+OUTSIDE = frozenset(["header", "topbar", *(f"{p}-header" for p in ("site", "page", "main", "global")), *(f"header-{p}" for p in PARTS)])
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 HEADING = re.compile(r"h[1-6](?:\.|$)")
 THRESHOLD = 0.5
 #: What a stated article weighs in the fused ratio.
 WEIGHT = 20.0
+#: Marked text of so many times the length of the article beside it is not boilerplate.
+TEASER = 8
 
 
 class _Element:
-    __slots__ = ("tag", "path", "never", "article", "link")
+    __slots__ = ("tag", "path", "never", "article", "link", "mark")
 
-    def __init__(self, tag, path, never, article, link):
-        self.tag, self.path, self.never, self.article, self.link = tag, path, never, article, link
+    def __init__(self, tag, path, never, article, link, mark=0):
+        self.tag, self.path, self.never, self.article, self.link, self.mark = tag, path, never, article, link, mark
+
+
+def _standing(found: list[tuple], marks: list[tuple[int, bool, bool]]) -> list[bool]:
+    """Whether what lies under each mark is boilerplate: not if its element holds the article or most of the text outside links.
+
+    ``marks``: (mark around it, in an article, named as readers' comments) in page order; the first is no mark. Beside an article
+    comments may outweigh it, and so may other marked text unless the article is a mere teaser by comparison.
+    """
+    under, articles = [0] * len(marks), [0] * len(marks)
+    for _, text, linked, never, article, mark in found:
+        size = 0 if never else max(0, len(text) - linked)
+        under[mark] += size
+        articles[mark] += size if article else 0
+    for k in range(len(marks) - 1, 0, -1):
+        under[marks[k][0]] += under[k]
+        articles[marks[k][0]] += articles[k]
+    stands, taken = [False] * len(marks), 0  # taken: article text under marks that stand
+    for k in range(1, len(marks)):
+        around, inside, comments = marks[k]
+        if stands[around]:
+            stands[k] = True
+            continue
+        elsewhere = articles[0] - articles[k] - taken
+        holds = articles[k] > 0 and not inside and not elsewhere
+        most = 2 * under[k] > under[0] and (not elsewhere or not comments and under[k] > TEASER * elsewhere)
+        stands[k] = not (holds or most)
+        taken += articles[k] if stands[k] else 0
+    return stands
 
 
 def blocks(html: str) -> list[tuple[str, str, int, bool, bool]]:
     """(path, text, characters in links, boilerplate by nature, in the article) of every block with text, in page order."""
     root = _Element("", "", False, False, False)
     stack, out, at = [root], [], 0
+    marks = [(0, False, False)]
     texts: list[str] = []
     link_chars, owner = 0, root
 
@@ -67,7 +106,7 @@ def blocks(html: str) -> list[tuple[str, str, int, bool, bool]]:
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                out.append((owner.path, text, link_chars, owner.never, owner.article))
+                out.append((owner.path, text, link_chars, owner.never, owner.article, owner.mark))
             texts, link_chars = [], 0
 
     end = len(html)
@@ -79,12 +118,12 @@ def blocks(html: str) -> list[tuple[str, str, int, bool, bool]]:
             top = stack[-1]
             if not texts:
                 owner = next(e for e in reversed(stack) if e.tag not in INLINE)
-                if any(e.never for e in stack[-8:]):
-                    owner = _Element(owner.tag, owner.path, True, owner.article, False)
-            elif top.never and not owner.never or owner.never and not top.never:  # an inline advert inside a block
+                if (top.never, top.mark) != (owner.never, owner.mark):
+                    owner = _Element(owner.tag, owner.path, top.never, owner.article, False, top.mark)
+            elif (top.never, top.mark) != (owner.never, owner.mark):  # an inline advert inside a block
                 flush()
                 owner = next(e for e in reversed(stack) if e.tag not in INLINE)
-                owner = _Element(owner.tag, owner.path, top.never, owner.article, False)
+                owner = _Element(owner.tag, owner.path, top.never, owner.article, False, top.mark)
             decoded = unescape(run) if "&" in run else run
             texts.append(decoded)
             if top.link:
@@ -126,16 +165,20 @@ def blocks(html: str) -> list[tuple[str, str, int, bool, bool]]:
             named = " ".join(given.get(k, "") for k in ("class", "id", "role")).lower()
             hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
         article = top.article or tag in ("article", "main") or "role" in rest and named.endswith("main")
-        names = set(named.split()) | set(re.split(r"[^a-z0-9]+", named)) if named else ()
-        never = top.never or tag in NEVER or hidden or not MARKED.isdisjoint(names)
-        if not article and (tag in OUTSIDE or not OUTSIDE.isdisjoint(names)) and tag not in ("html", "body"):
+        names = set(named.replace("_", "-").split()) if named else set()
+        never, mark = top.never or tag in NEVER or hidden, top.mark
+        if not article and tag in OUTSIDE:
             never = True
         if tag in ("html", "body"):
             never = False
+        elif not never and (not MARKED.isdisjoint(names) or not COMPOUNDS.isdisjoint(names) or not article and not OUTSIDE.isdisjoint(names)):
+            marks.append((mark, top.article, any(n in COMMENTS or n.startswith(("comment-", "comments-")) for n in names)))
+            mark = len(marks) - 1
         key = f"{tag}.{'.'.join(sorted(named.split()))}" if named else tag
-        stack.append(_Element(tag, f"{top.path}/{key}", never, article, top.link or tag == "a"))
+        stack.append(_Element(tag, f"{top.path}/{key}", never, article, top.link or tag == "a", mark))
     flush()
-    return out
+    stands = _standing(out, marks)
+    return [(path, text, linked, never or stands[mark], article) for path, text, linked, never, article, mark in out]
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:

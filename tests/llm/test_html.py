@@ -84,3 +84,25 @@ def test_linked_headings_and_lists_of_an_article_stay():
     page = f"<article><h1><a href=x>Title</a></h1><p>{LONG}</p><ul><li><a href=a>Source one</a><li><a href=b>Source two</a></ul></article>"
     assert H.main_text(page) == f"Title\n\n{LONG}\n\nSource one\n\nSource two"
     assert H.main_text(f"<div class=text><h1><a href=x>Title</a></h1><p>{LONG}</p><p>{LONG}</p></div>") == f"Title\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "name", ["class='content has-sidebar'", "id=page class=no-comments", "class='post category-search comment-status-open'", "class=sidebar", "class='post hidden'", "id=main-content class=notice"]
+)
+@pytest.mark.parametrize("form", ["<article {}>{}</article>", "<div {}>{}</div>", "<div {}><article>{}</article></div>", "<main><div {}>{}</div></main>"])
+def test_a_name_on_a_container_does_not_take_the_text(name, form):
+    text = form.format(name, f"<h2>Title</h2><p>{LONG}</p><p>{LONG} Two.</p>")
+    assert H.main_text(f"<html><body>{text}<div class=ad>Buy it, now.</div></body></html>") == f"Title\n\n{LONG}\n\n{LONG} Two."
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "site_footer", "main-nav", "share-buttons", "related-posts", "comments-area", "ad-container", "page-header"])
+def test_compounds_leave(name):
+    assert H.main_text(f"<body><div class=text><p>{LONG}</p><p>{LONG} Two.</p></div><div class={name}><p>Short text, here.</p></div></body>") == f"{LONG}\n\n{LONG} Two."
+
+
+def test_long_comments_beside_an_article_leave():
+    said = "".join(f"<li class=comment><article class=comment-body><p>{LONG} {i}.</p></article></li>" for i in range(9))
+    assert H.main_text(f"<body><article><p>{LONG}</p></article><section id=comments><ol>{said}</ol></section></body>") == LONG
+    assert H.main_text(f"<body><article><p>{LONG}</p></article><div class=ad><p>{LONG} {LONG}</p></div></body>") == LONG
+    assert said.count(LONG) == H.main_text(f"<body><article>Teaser</article><div class='post notice'>{said.replace('comment', 'x')}</div></body>").count(LONG)
+    assert H.main_text(f"<body class=single><div class=sidebar><article><p>{LONG}</p></article></div></body>") == LONG
