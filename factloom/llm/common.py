@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and everything runs in one process (tests, a
+    laptop) a temporary folder is made and set; on a cluster each machine would write to its own disk, so that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    made = spark.sparkContext.getCheckpointDir()
+    made = named or spark.sparkContext.getCheckpointDir()
     if not made:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="factloom-"))
         made = spark.sparkContext.getCheckpointDir()
     return made.rstrip("/")
@@ -50,6 +51,36 @@ def appended(frame: DataFrame, run, *more: str) -> DataFrame:
     return plain.mapInArrow(run, ", ".join([*schema, *more])).toDF(*frame.columns, *(m.split()[0] for m in more))
 
 
+#: Bits of one row of a bitmap, and the most rows that a bitmap has (32 MB in all).
+ROW_BITS, MOST_ROWS = 1 << 15, 1 << 13
+
+
+def bitmap(ids: DataFrame, count: int) -> DataFrame:
+    """``row, bits``: a set of places that the one column of ``ids`` falls on, about eight for each of ``count`` ids and 2^28 at most.
+
+    Its size is bounded, so it may be broadcast. Of other ids at most one in eight falls on a place that is taken; beyond 2^25
+    ids more do, up to all of them: what is marked is then as much as there is, and never too little.
+    """
+    rows = min(MOST_ROWS, max(1, 1 << max(0, (8 * count - 1).bit_length() - ROW_BITS.bit_length() + 1)))
+    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(rows * ROW_BITS))
+    taken = ids.select(F.floor(place / ROW_BITS).alias("row"), F.pmod(place, F.lit(ROW_BITS)).alias("at"))
+    return taken.groupBy("row").agg(F.bitmap_construct_agg("at").alias("bits")).withColumn("rows", F.lit(rows))
+
+
+def parted(frame: DataFrame, column: str, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``frame`` whose ``column`` may be among the ids of the bitmap ``marks``, all others). No shuffle."""
+    rows = marks.select("rows").first()
+    if rows is None:
+        return frame.where("false"), frame
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(rows[0] * ROW_BITS))
+    placed = frame.withColumn("_row", F.floor(place / ROW_BITS)).withColumn("_at", F.pmod(place, F.lit(ROW_BITS)))
+    met = placed.join(F.broadcast(marks.select(F.col("row").alias("_row"), F.col("bits").alias("_bits"))), "_row", "left")
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    taken = F.call_function("shiftright", byte, F.pmod("_at", F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = met.withColumn("_taken", F.coalesce(taken & F.col(column).isNotNull(), F.lit(False)))
+    return met.where("_taken").select(*frame.columns), met.where("not _taken").select(*frame.columns)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 

@@ -167,22 +167,26 @@ def measured(docs: DataFrame, text_col: str = "text", forest: Forest | None = No
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Forest:
-    """Fit on up to about ``sample`` labelled rows, chosen by a hash of the id. Null labels and labels without a document are not used; of several labels of one id the smaller counts."""
-    own = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min("quality").alias("quality"))
+    """Fit on up to about ``sample`` labelled ids, chosen by a hash of the id, one row of statistics for each.
+
+    Null labels and labels without a document are not used; of several labels of one id the smaller counts, of several rows the one with the smallest statistics.
+    """
+    own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality"))
     share = min(1.0, sample / max(1, own.count()))
     chosen = own.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))  # bounded, so its join is a broadcast
-    joined = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id")
-    rows = measured(joined).select("label_id", "quality", "features").toPandas().sort_values("label_id", kind="stable")
+    joined = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "label_id")
+    rows = measured(joined).groupBy("label_id").agg(F.min("features").alias("features"), F.min("quality").alias("quality"))
+    rows = rows.toPandas().sort_values("label_id", kind="stable")
     x = np.array(rows["features"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return boost(x, rows["quality"].to_numpy(np.float64), list(FEATURES.values()))
 
 
-def judged(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, the five counts, ``base_failed``, ``score`` and ``kept``.
+def judged(docs: DataFrame, forest: Forest, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """All columns of ``docs``, the five counts, ``base_failed``, ``score`` and ``kept``. A row for each row.
 
-    Null and empty texts fail the base rules. Columns of ``docs`` that have one of these names give way.
+    Null and empty texts fail the base rules (with ``min_words`` of 1 or more). Columns of ``docs`` that have one of these names give way.
     """
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = measured(docs.select(*others(docs, "base_failed", "kept")), text_col, forest)
     return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= KEEP_AT))
 

@@ -29,29 +29,35 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 DENSE = 2048
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned fingerprint of one text: lower-cased A-Z, words between ASCII white space, word shingles with repeats.
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each word shingle of a whole text, repeats included: lower-cased A-Z, words between ASCII white space.
 
-    Fewer words than a shingle has: the whole sequence is the one shingle. No words (null, empty): zero.
+    Fewer words than a shingle has: the whole sequence is the one shingle. No words (null, empty): none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
     if not words:
-        return 0
-    line = b" ".join(words)
+        return np.empty(0, "<u8")
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
-    h = np.array(hashes, dtype="<u8")
+        return np.array([digest(line, seed)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The unsigned number whose bits are set in over half of ``h``; zero if there is none."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 16):  # a very long text needs no more memory than a block
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned fingerprint of one text; zero for a text without words."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` (the fingerprint's bits as a signed long), one row for each row of ``docs``."""
 
@@ -85,7 +91,7 @@ def constants(values) -> F.Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
 
 
-def _tagged(masks: F.Column, value: F.Column, n: int, k: int) -> F.Column:
+def tagged(masks: F.Column, value: F.Column, n: int, k: int) -> F.Column:
     return F.transform(masks, lambda m: value.bitwiseXOR(m) * n + k)
 
 
@@ -95,7 +101,7 @@ def _keys(fps: DataFrame, plan: list[tuple[int, int, int]], probe: bool) -> Data
     for k, (first, width, radius) in enumerate(plan):
         value = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
         masks = constants(ball(width, radius) if probe else [0])
-        arrays.append(_tagged(masks, value, len(plan), k))
+        arrays.append(tagged(masks, value, len(plan), k))
     return fps.select(F.explode(F.concat(*arrays)).alias("key"), "fp", "rep")
 
 

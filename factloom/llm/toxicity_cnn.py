@@ -4,14 +4,14 @@ A word's embedding is the sum of the rows that its text, its first five letters,
 that inflected and made-up forms share what was learnt. Filters of several widths slide over the words; max pooling keeps the
 strongest responses of each filter over the whole text (the best ``TOP``, so that one stray word and several are told
 apart); a logistic layer gives the score. Training runs on the driver over a bounded, documented sample of labelled rows. The
-decision threshold of each language is the one that best separates the sample's held-back part in that language; language only
+decision threshold of each language is the one that best separates all labelled rows of that language that were not fitted; language only
 picks the threshold and is no input of the score.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from zlib import crc32
 
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import appended, others
+from factloom.llm.common import appended, others, stored
 
-#: At most about so many labelled rows of each class are fitted.
-SAMPLE = 2000
+#: At most about so many labelled rows of each class are fitted, and no text of more bytes.
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 16
+#: Steps of a score in calibration; rows of either class that a language needs for its own threshold; most languages that have one.
+BINS, LEAST, LANGUAGES = 1000, 5, 1000
 BUCKETS, DIM, WIDTHS, FILTERS, TOP = 1 << 15, 12, (1, 2, 3), 8, 2
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that are scored at once; pooling joins the blocks of a longer text.
@@ -47,7 +49,12 @@ class Model:
     bias: np.ndarray
     out: np.ndarray
     out_bias: float
-    thresholds: dict[str, float] = field(default_factory=dict)
+    sample: int = SAMPLE
+    training_rows: object = None
+
+    def weights(self) -> Model:
+        """What scoring needs."""
+        return replace(self, training_rows=None)
 
     def pooled(self, vectors: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best ``TOP`` responses of every filter, before the rectifier, and where they are. ``index``: a text's words in ``vectors``."""
@@ -168,75 +175,94 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 10, rate: float =
     return m
 
 
-def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The cut with the best balanced accuracy, in the middle of its gap; one half where a class is missing."""
-    if len(set(labels.tolist())) < 2:
+def threshold(bins: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut with the best balanced accuracy, in the middle of its gap; one half where a class is missing.
+
+    ``bins``: scores in units of 1 / ``BINS``, with the number of clean and of toxic rows at each.
+    """
+    if not clean.sum() or not toxic.sum():
         return 0.5
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    gain = np.cumsum(y) / y.sum() - np.cumsum(1 - y) / (1 - y).sum()
-    cut = np.flatnonzero(np.append(s[:-1] > s[1:], True))
-    k = cut[np.argmax(gain[cut])]
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
+    order = np.argsort(-bins, kind="stable")
+    s, good, bad = bins[order], clean[order], toxic[order]
+    gain = np.cumsum(bad) / bad.sum() - np.cumsum(good) / good.sum()
+    k = int(np.argmax(gain))
+    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2 / BINS)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, training_rows, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """Up to about ``sample`` rows of each class, by a hash of the id; about a quarter as many rows of each class for the thresholds.
+def labelled(labels: DataFrame, training_rows=None, id_col: str = "doc_id") -> DataFrame:
+    """``label_id, toxic``: one row for each labelled id that may be learnt from. Null labels are not used; of several labels of one id the smaller counts."""
+    allowed = F.lit(True) if training_rows is None else training_rows
+    own = labels.where(allowed & F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull())
+    return own.groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.min("toxic").alias("toxic"))
 
-    Null labels, labels without a document and rows that ``training_rows`` (a condition on the id) leaves out are not used; of several labels of one id the smaller counts.
-    The documents meet only the chosen ids, whose number is bounded, so that join is a broadcast.
-    """
-    own = labels.where(training_rows & F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min("toxic").alias("toxic"))
+
+def sampled(own: DataFrame, sample: int) -> DataFrame:
+    """Those of ``own`` that are fitted: up to about ``sample`` ids of each class, by a hash of the id, and never all, so that some are left for the thresholds."""
     sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, sample / max(1, sizes.get(0, 0)))))
-    chosen = own.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < share * (1 << 30))
-    joined = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("label_id"))
-    return joined.select("label_id", "toxic", F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).toPandas().sort_values("label_id", kind="stable", ignore_index=True)
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, training_rows=None, **cols) -> Model:
-    """Train on the sample and calibrate the thresholds by language on its rows that were held back from a first fit."""
-    rows = labelled_sample(docs, labels, sample, F.lit(True) if training_rows is None else training_rows, **cols)
-    y = rows["toxic"].to_numpy(np.float64)
-    back = rows["label_id"].map(lambda x: crc32(b"%d" % x) // 5 % 5 == 0).to_numpy(bool)
-    texts = rows["text"].tolist()
-    pick = lambda keep: [t for t, k in zip(texts, keep) if k]
-    model = train(pick(~back), y[~back])
-    scores = np.array([model.score(t) for t in pick(back)])
-    langs = rows["lang"].fillna("").to_numpy()[back]
-    overall = threshold(scores, y[back]) if len(scores) else 0.5
-    for lang in sorted(set(langs)):
-        own = langs == lang
-        if y[back][own].sum() >= 5 and (1 - y[back][own]).sum() >= 5:
-            model.thresholds[lang] = threshold(scores[own], y[back][own])
-    model.thresholds[""] = overall
-    return model
+    part = lambda y: F.lit(min(0.8, sample / max(1, sizes.get(y, 0))))
+    share = F.when(F.col("toxic") == 1, part(1)).otherwise(part(0))
+    return own.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < share * (1 << 30))
 
 
-def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All columns of ``docs`` and ``score``, ``predicted`` (score >= 0.5), ``rejected`` (score at or above the language's threshold).
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, training_rows=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Train on the sample. ``training_rows``: a condition on the labels' ``doc_id``. Labels without a document are not used.
 
-    Null and empty texts are scored as texts without words. Unknown languages take the threshold over all languages. Columns of ``docs`` with one of the
-    new names give way.
+    One text for each id, and none of over ``SAMPLE_BYTES`` bytes, so what reaches the driver is bounded in rows and bytes. The documents meet only
+    the chosen ids, whose number is bounded, so that join is a broadcast.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = [pa.field("score", pa.float64()), pa.field("predicted", pa.int32()), pa.field("rejected", pa.bool_())]
+    chosen = sampled(labelled(labels, training_rows), sample)
+    texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "label_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    rows = rows.groupBy("label_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).toPandas().sort_values("label_id", kind="stable")
+    model = train(rows["text"].tolist(), rows["toxic"].to_numpy(np.float64))
+    model.sample, model.training_rows = sample, training_rows
+    return model
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``score``. Null and empty texts are scored as texts without words. A column called ``score`` gives way."""
+    held = docs.sparkSession.sparkContext.broadcast(model.weights())
+    frame = docs.select(*others(docs, "score"))
+    place = [c.lower() for c in frame.columns].index(text_col.lower())
 
     def run(batches):
         m = held.value
         for batch in batches:
-            text, lang = batch.column(places[0]), batch.column(places[1])
-            scores = np.fromiter(map(m.score, text.to_pylist()), np.float64, batch.num_rows)
-            cuts = np.array([m.thresholds.get(x or "", m.thresholds.get("", 0.5)) for x in lang.to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(batch.num_columns)), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(scores >= cuts)],
-                schema=pa.schema([*batch.schema, *schema]),
-            )
+            scores = np.fromiter((m.score(x.as_py()) for x in batch.column(place)), np.float64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(scores)], schema=pa.schema([*batch.schema, pa.field("score", pa.float64())]))
+
+    return appended(frame, run, "score double")
+
+
+def calibrated(scores: DataFrame, labels: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str = "lang", **_) -> dict[str, float]:
+    """The threshold of each language, and under '' the one over all, from every labelled row that was not fitted.
+
+    ``scores``: rows with id, language and ``score``; only (language, score in ``BINS`` steps, label) counts leave the cluster. Languages with fewer than ``LEAST``
+    rows of either class take the threshold over all, and so do all beyond the ``LANGUAGES`` with the most labels.
+    """
+    own = labelled(labels, model.training_rows)
+    own = own.join(sampled(own, model.sample).select("label_id"), "label_id", "left_anti")
+    at = F.floor(F.col("score") * BINS).cast("long")
+    rows = scores.select(F.col(id_col).cast("long").alias("label_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), at.alias("bin"))
+    count = lambda y: F.count_if(F.col("toxic") == y)
+    bins = stored(rows.join(own, "label_id").groupBy("lang", "bin").agg(count(0).alias("clean"), count(1).alias("toxic")), "bins")
+    per = bins.groupBy("lang").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where((F.col("c") >= LEAST) & (F.col("t") >= LEAST) & (F.col("lang") != ""))
+    some = per.orderBy((F.col("c") + F.col("t")).desc(), "lang").limit(LANGUAGES)
+    overall = bins.groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("lang", F.lit(""))
+    found = bins.join(F.broadcast(some), "lang", "left_semi").unionByName(overall).toPandas()
+    return {"": 0.5} | {lang: threshold(*(rows[c].to_numpy(np.float64) for c in ("bin", "clean", "toxic"))) for lang, rows in found.sort_values(["lang", "bin"]).groupby("lang")}
+
+
+def rejecting(scores: DataFrame, thresholds: dict[str, float], lang_col: str = "lang") -> DataFrame:
+    """``scores`` with ``predicted`` (score >= 0.5) and ``rejected`` (at or above the language's threshold; unknown languages take the one over all)."""
+    cuts = F.create_map(*(F.lit(x) for pair in sorted(thresholds.items()) for x in pair))
+    cut = F.coalesce(F.try_element_at(cuts, F.coalesce(F.col(lang_col).cast("string"), F.lit(""))), F.lit(thresholds[""]))
+    return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumn("rejected", F.col("score") >= cut)
+
 
-    frame = docs.select(*others(docs, "score", "predicted", "rejected"))
-    low = [c.lower() for c in frame.columns]
-    places = [low.index(c.lower()) for c in (text_col, lang_col)]
-    return appended(frame, run, "score double", "predicted int", "rejected boolean")
+def classify(docs: DataFrame, model: Model, thresholds: dict[str, float], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """All columns of ``docs`` and ``score``, ``predicted``, ``rejected``. Columns of ``docs`` with one of these names give way."""
+    return rejecting(scored(docs.select(*others(docs, "predicted", "rejected")), model, text_col), thresholds, lang_col)
 
 
 def fold(id_col: str = "doc_id") -> F.Column:
@@ -248,4 +274,6 @@ def op10_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels, training_rows=fold() != 0)
-    return classify(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted", "rejected")
+    scores = stored(scored(docs, model).drop("text"), "scores")
+    judged = rejecting(scores, calibrated(scores, labels, model))
+    return judged.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted", "rejected")

@@ -10,7 +10,7 @@ def documents(spark, *texts, extra=False):
     if extra:  # columns whose names clash with those that the operators make
         from pyspark.sql import functions as F
 
-        for c in ("score", "kept", "fp", "rank", "n_tokens", "predicted", "features", "n_words", "Rejected", "base_failed", "a`b c", "x.y"):
+        for c in ("score", "kept", "fp", "rank", "n_tokens", "predicted", "features", "n_words", "label_id", "Toxic", "quality", "shingles", "key", "rep", "f0", "_row", "Rejected", "base_failed", "a`b c", "x.y"):
             df = df.withColumn(c, F.lit("own"))
     return df
 

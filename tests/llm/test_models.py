@@ -136,22 +136,52 @@ def test_toxicity_edges(spark):
     assert 0 <= m.score("anything at all") <= 1
     assert X.train(["a", "b"], np.array([1.0, 1.0])).score("a") > 0.5
     docs = documents(spark, *TEXTS, extra=True)
-    rows = X.classify(docs, m).collect()
+    rows = X.classify(docs, m, {"": 0.5}).collect()
     assert len(rows) == len(TEXTS) and {type(r.rejected) for r in rows} == {bool}
-    assert X.classify(docs.where("false"), m).count() == 0
+    assert X.classify(docs.where("false"), m, {"": 0.5}).count() == 0
     labels = spark.createDataFrame([(0, None), (None, 1), (99, 0), (3, 1), (3, 1)], "doc_id long, toxic int")
-    assert X.fit(docs, labels).score("x") >= 0
-    assert X.fit(docs.where("false"), labels.where("false")).thresholds[""] == 0.5
+    for table in (docs, docs.where("false"), docs.unionAll(docs)):
+        m = X.fit(table, labels)
+        assert m.score("x") >= 0
+        assert X.calibrated(X.scored(table, m), labels, m) == {"": 0.5}
 
 
 def test_threshold_is_by_language():
-    s, y = np.array([0.9, 0.8, 0.3, 0.2]), np.array([1.0, 1.0, 0.0, 0.0])
-    assert 0.3 < X.threshold(s, y) < 0.8
-    assert X.threshold(s, np.ones(4)) == 0.5
+    s, good, bad = np.array([900, 800, 300, 200]), np.array([0, 0, 1, 1]), np.array([1, 1, 0, 0])
+    assert 0.3 < X.threshold(s, good, bad) < 0.8
+    assert X.threshold(s, good * 0, bad) == 0.5
+
+
+def test_thresholds_come_from_all_labelled_rows_but_the_fitted(spark):
+    rows = [(i, "de" if i % 2 else "en", (0.9 if i % 4 < 2 else 0.6) if i % 2 else (0.4 if i % 4 < 2 else 0.1)) for i in range(2000)]
+    scores = spark.createDataFrame(rows, "doc_id long, lang string, score double")
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(2000)], "doc_id long, toxic int")
+    m = X.train([], np.array([]))
+    m.sample = 100
+    found = X.calibrated(scores, labels, m)
+    assert 0.6 < found["de"] < 0.9 and 0.1 < found["en"] < 0.4 and "" in found
+    kept = X.rejecting(scores, found).where("not rejected").count()
+    assert kept == 1000
+    fitted = {r.label_id for r in X.sampled(X.labelled(labels), 100).collect()}
+    assert 100 < len(fitted) < 300
+    odd = scores.withColumn("score", F.when(F.col("doc_id").isin(*fitted), 1 - F.col("score")).otherwise(F.col("score")))
+    assert X.calibrated(odd, labels, m) == found
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    docs = documents(spark, "good words", "bad words", "x " * X.SAMPLE_BYTES)
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id long, toxic int")
+    seen = []
+    original, X.train = X.train, lambda texts, y: seen.append(texts) or original(texts, y)
+    try:
+        X.fit(docs.unionAll(docs).unionAll(docs), labels)
+    finally:
+        X.train = original
+    assert len(seen[0]) <= 2 and max(map(len, seen[0]), default=0) < 20
 
 
 def test_labels_language_and_ids_do_not_enter_the_score(spark):
     docs = documents(spark, "some text", "other text")
     m = X.train(["bad bad", "good one"], np.array([1.0, 0.0]))
     moved = docs.withColumn("doc_id", F.col("doc_id") + 100).withColumn("lang", F.lit("xx")).withColumn("source", F.lit("zz"))
-    assert sorted(r.score for r in X.classify(docs, m).collect()) == sorted(r.score for r in X.classify(moved, m).collect())
+    assert sorted(r.score for r in X.classify(docs, m, {"": 0.5}).collect()) == sorted(r.score for r in X.classify(moved, m, {"": 0.5}).collect())
