@@ -5,6 +5,11 @@ crosses it. And whether a symbol keeps its right edge depends on a bounded stret
 take it by a merge of a lower rank than the one that it waits for, that symbol's own making by a still lower one, and so
 on. ``Merges.lookahead`` is the longest such chain over the merge list. The transducer therefore holds one buffer,
 merges it, and emits every token that ends at least ``lookahead`` symbols before the buffer's end.
+
+A text flows through in blocks that end before white space. Every pre-token goes through the transducer and every id through the
+decoder as soon as it is stable; both are back at their start when a pre-token ends, so what they emitted for a short one is
+remembered and serves again. Digests are fed piece by piece: neither the ids nor the decoded text of a document are ever held whole,
+unless their columns are asked for.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ from tokenizers.pre_tokenizers import Split
 
 #: Symbols that the transducer gathers beyond its lookahead before it merges.
 BLOCK = 4096
-#: Words of which a task keeps the tokens; the memory is emptied when it is full.
-REMEMBERED = 300_000
+#: Characters of a text that are split at once; a block goes on to the next white space.
+CHARS, SPACE = 1 << 15, re.compile(r"[ \t\n\r]")
+#: Pre-tokens, shorter than ``SHORT`` characters, of which a task keeps what was emitted; the memory is emptied when it is full.
+REMEMBERED, SHORT = 300_000, 64
 #: Characters whose class no Unicode version in use disputes; a text with others is normalised and split by the tokenizers library.
 ODD = re.compile(r"[^\t\n\r -~\xa1-ɏͰ-ԯ‐-‧₠-₿぀-ヿ一-鿿가-힣]")
 
@@ -52,6 +59,7 @@ class Merges:
         chars = byte_alphabet()
         self.inner = [vocab[c] for c in chars]
         self.last = [vocab[c + self.suffix] for c in chars]
+        self.at_end = dict(zip(self.inner, self.last))
         self.rank: dict[tuple[int, int], int] = {}
         self.made: list[int] = []
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -127,68 +135,16 @@ class Transducer:
         """The pre-token's end: its last symbol takes the end-of-word mark, and everything held is stable."""
         if self.held:
             m = self.merges
-            self.held[-1] = m.last[m.inner.index(self.held[-1])]
+            self.held[-1] = m.at_end[self.held[-1]]
             yield from m.merge(self.held)
             self.held = []
 
 
-class Encoder:
-    """Whole texts to ids, as the tokenizer file says: special strings, NFC, white space, lower case, words, merges."""
-
-    def __init__(self, path: str, block: int = BLOCK):
-        self.merges = Merges(path)
-        self.transducer = Transducer(self.merges, block)
-        self.long = block
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        exact = Tokenizer.from_file(path)
-        self.normal = exact.normalizer.normalize_str
-        with open(path, encoding="utf-8") as f:
-            pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")") if self.merges.special else None
-        outer = self
-
-        class Remembered(dict):
-            def __missing__(self, word):
-                out = " ".join(map(str, outer.word(word)))
-                if len(word) < 64:
-                    if len(self) >= REMEMBERED:
-                        self.clear()
-                    self[word] = out
-                return out
-
-        self.remembered = Remembered()
-
-    def word(self, word: str) -> list[int]:
-        data, m = word.encode(), self.merges
-        if len(data) <= self.long:  # the end is in sight, so every token is stable at once
-            symbols = [m.inner[b] for b in data]
-            symbols[-1] = m.last[data[-1]]
-            return m.merge(symbols)
-        return [*self.transducer.feed(data), *self.transducer.end()]
-
-    def encode(self, text: str | None) -> str:
-        """The ids as decimals with one space between; the empty string for a null or empty text."""
-        parts = []
-        for piece in self.marks.split(text or "") if self.marks else [text or ""]:
-            if piece in self.merges.special:
-                parts.append(str(self.merges.special[piece]))
-            elif piece:
-                if ODD.search(piece):
-                    words = [w for w, _ in self.split(self.normal(piece))]
-                else:
-                    plain = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
-                    words = self.words.findall(plain.replace("Σ", "σ").lower())
-                parts += map(self.remembered.__getitem__, words)
-        return " ".join(parts)
-
-
 class Decoder:
     """Ids to text, one at a time. For byte-level files bytes wait until they form a character; else tokens are joined by a space."""
 
     def __init__(self, merges: Merges):
         self.text_of, self.byte_level, self.special = merges.text_of, merges.byte_level, set(merges.special.values())
-        self.by_decimal = {str(i): t for i, t in merges.text_of.items()}
         self.byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         self.reset()
 
@@ -204,39 +160,132 @@ class Decoder:
         return before + self.text_of[token]
 
     def decode(self, decimals: str) -> str:
-        ids = decimals.split()
-        if not self.byte_level:
-            return " ".join(map(self.by_decimal.__getitem__, ids))  # what step() emits, in one go
         self.reset()
-        return "".join([self.step(int(i)) for i in ids]) + self.utf8.decode(b"", True)
+        return "".join([self.step(int(i)) for i in decimals.split()]) + self.utf8.decode(b"", True)
+
+
+class Remembered(dict):
+    """What the transducer and the decoder emit for a short pre-token: (number of ids, ids, their text)."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, word: str):
+        parts = list(self.codec.through(word))
+        out = sum(n for n, _, _ in parts), " ".join([ids for _, ids, _ in parts]), "".join([text for _, _, text in parts])
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = out
+        return out
+
+
+class Codec:
+    """Whole texts to ids and back, as the tokenizer file says: special strings, NFC, white space, lower case, words, merges."""
+
+    def __init__(self, path: str, block: int = BLOCK):
+        self.merges = Merges(path)
+        self.transducer, self.decoder = Transducer(self.merges, block), Decoder(self.merges)
+        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        exact = Tokenizer.from_file(path)
+        self.normal = exact.normalizer.normalize_str
+        with open(path, encoding="utf-8") as f:
+            pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")") if self.merges.special else None
+        self.remembered = Remembered(self)
+
+    def through(self, word: str):
+        """(1, id, its text) of a pre-token's tokens as they become stable; the first text has no space before it."""
+        step = self.decoder.step
+        self.decoder.reset()
+        for at in range(0, len(word), CHARS):
+            for i in self.transducer.feed(word[at : at + CHARS].encode()):
+                yield 1, str(i), step(i)
+        for i in self.transducer.end():
+            yield 1, str(i), step(i)
+
+    def pieces(self, text: str | None):
+        """Lists of (number of ids, ids, their text), in order: of each list, and of the lists, the ids and the texts are joined by a space."""
+        text, at = text or "", 0
+        while at < len(text):
+            found = SPACE.search(text, at + CHARS)
+            end = found.start() if found else len(text)
+            block, at = text[at:end], end
+            for piece in self.marks.split(block) if self.marks else [block]:
+                if piece in self.merges.special:
+                    yield [(1, str(self.merges.special[piece]), piece)]
+                elif piece:
+                    yield from self._words(piece)
+
+    def _words(self, piece: str):
+        if ODD.search(piece):
+            words = [w for w, _ in self.split(self.normal(piece))]
+        else:
+            plain = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
+            words = self.words.findall(plain.replace("Σ", "σ").lower())
+        if len(max(words, key=len, default="")) < SHORT:
+            if words:
+                yield list(map(self.remembered.__getitem__, words))
+            return
+        for word in words:
+            if len(word) < SHORT:
+                yield [self.remembered[word]]
+            else:
+                for n, ids, decoded in self.through(word):
+                    yield [(n, ids, decoded.removeprefix(" "))]
+
+    def encode(self, text: str | None) -> str:
+        """The ids as decimals with one space between; the empty string for a null or empty text."""
+        return " ".join([ids for part in self.pieces(text) for _, ids, _ in part])
+
+
+class Outputs:
+    """Takes in a text's pieces; counts, digests and, with ``contents``, keeps them."""
+
+    def __init__(self, contents: bool):
+        self.n, self.ids, self.text, self.kept = 0, sha256(), sha256(), ([], []) if contents else None
+
+    def take(self, part: list[tuple[int, str, str]]):
+        counts, ids, texts = zip(*part)
+        before = " " if self.n else ""
+        ids, texts = before + " ".join(ids), before + " ".join(texts)
+        self.n += sum(counts)
+        self.ids.update(ids.encode())
+        self.text.update(texts.encode())
+        if self.kept:
+            self.kept[0].append(ids)
+            self.kept[1].append(texts)
+
+    def row(self) -> tuple:
+        return (self.n, self.ids.hexdigest(), self.text.hexdigest(), *map("".join, self.kept or ()))
 
 
 @lru_cache(2)
-def codec(vocabulary: str) -> tuple[Encoder, Decoder]:
+def codec(vocabulary: str) -> Codec:
     import public_tokenizers
 
-    encoder = Encoder(public_tokenizers.path(f"{vocabulary}.json"))
-    return encoder, Decoder(encoder.merges)
+    return Codec(public_tokenizers.path(f"{vocabulary}.json"))
 
 
 def transcode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k", contents: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, with ``contents``, ``ids`` (decimals) and ``decoded``.
 
-    A null or empty text has no ids and decodes to the empty string. Every row of ``docs`` gives one row. Other columns
-    are not read. A task's memory is one text, its ids and a bounded memory of words.
+    A null or empty text has no ids and decodes to the empty string. Every row of ``docs`` gives one row, rows that repeat an id as well; an empty table gives
+    none. Other columns are not read. Beside the batch of texts itself a task's memory is one block, the transducer's buffer and a bounded memory of
+    short pre-tokens (with ``contents``, also the ids and texts of the rows that go out together).
     """
 
     def run(batches):
-        encoder, decoder = codec(vocabulary)
+        own = codec(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64 if contents else 1024):
+                part = batch.slice(at, 64 if contents else 1024)
                 rows = []
-                for text in part.column(1).to_pylist():
-                    ids = encoder.encode(text)
-                    decoded = decoder.decode(ids)
-                    n = ids.count(" ") + 1 if ids else 0
-                    rows.append((n, sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest(), *((ids, decoded) if contents else ())))
+                for text in part.column(1):
+                    out = Outputs(contents)
+                    for piece in own.pieces(text.as_py()):
+                        out.take(piece)
+                    rows.append(out.row())
                 columns = [part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), *[pa.string()] * 4]))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -12,7 +12,8 @@ from tests.llm.helpers import SF, documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 EXACT = Tokenizer.from_file(PATH)
-ENCODER, DECODER = bpe_stream.codec("word_bpe_49k")
+ENCODER = bpe_stream.codec("word_bpe_49k")
+DECODER = bpe_stream.Decoder(ENCODER.merges)
 
 
 def same(text):
@@ -22,6 +23,10 @@ def same(text):
     assert DECODER.decode(got) == EXACT.decode(ids, skip_special_tokens=False)
     DECODER.reset()
     assert "".join(map(DECODER.step, ids)) == DECODER.decode(got)
+    out = bpe_stream.Outputs(contents=True)
+    for piece in ENCODER.pieces(text):
+        out.take(piece)
+    assert out.row()[0] == len(ids) and out.row()[3:] == (got, EXACT.decode(ids, skip_special_tokens=False))
 
 
 @settings(max_examples=300, deadline=None)
@@ -36,11 +41,11 @@ def test_edges(text):
 
 
 def test_streaming_with_a_small_buffer():
-    small = bpe_stream.Encoder(PATH, block=8)
+    small = bpe_stream.Codec(PATH, block=8)
     rng = random.Random(5)
     for _ in range(60):
         word = "".join(rng.choices("thereanoinssaaeellgmwo", k=rng.randint(150, 900)))
-        assert small.word(word) == EXACT.encode(word, add_special_tokens=False).ids
+        assert [int(i) for _, i, _ in small.through(word)] == EXACT.encode(word, add_special_tokens=False).ids
         held = bpe_stream.Transducer(small.merges, 8)
         for b in word.encode():
             list(held.feed(bytes([b])))
@@ -76,8 +81,47 @@ def test_nulls_extra_columns_and_empty_tables(spark):
     assert bpe_stream.transcode(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("chars", [1, 5, 40])
+def test_small_blocks(monkeypatch, chars):
+    monkeypatch.setattr(bpe_stream, "CHARS", chars)
+    rng = random.Random(chars)
+    alphabet = ["a", "B", " ", "\n", "\u0301", "e", "é", "Σ", "1", "'s", "<|endoftext|>", "\u3000", "…", "ﬁ", "\x85", "\r\n", "x" * 70]
+    for _ in range(200):
+        same("".join(rng.choices(alphabet, k=40)))
+
+
+def test_every_id_goes_through_both_machines(monkeypatch):
+    fed, stepped = [], []
+    monkeypatch.setattr(bpe_stream.Transducer, "feed", lambda self, data, f=bpe_stream.Transducer.feed: fed.append(data) or f(self, data))
+    monkeypatch.setattr(bpe_stream.Decoder, "step", lambda self, i, f=bpe_stream.Decoder.step: stepped.append(i) or f(self, i))
+    fresh = bpe_stream.Codec(PATH)
+    text = "It's a plain sentence of words, and " + "longer" * 40
+    ids = EXACT.encode(text, add_special_tokens=False).ids
+    out = bpe_stream.Outputs(contents=False)
+    for piece in fresh.pieces(text):
+        out.take(piece)
+    assert b"".join(fed).decode() == "".join(w for w, _ in fresh.split(fresh.normal(text))) and stepped == ids
+    assert out.row() == (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(EXACT.decode(ids).encode()).hexdigest())
+
+
+def test_memory_does_not_grow_with_the_text():
+    import tracemalloc
+
+    def peak(text):
+        out = bpe_stream.Outputs(contents=False)
+        tracemalloc.start()
+        for piece in ENCODER.pieces(text):
+            out.take(piece)
+        return tracemalloc.get_traced_memory()[1], tracemalloc.stop()
+
+    words = "some plain words, and more of them\n" * 3000
+    peak(words)
+    assert peak(words * 20)[0] < 1.5 * peak(words * 2)[0]
+    assert peak(words * 20)[0] < 20_000_000
+
+
 def test_full_memory_is_emptied(monkeypatch):
     monkeypatch.setattr(bpe_stream, "REMEMBERED", 3)
-    small = bpe_stream.Encoder(PATH)
+    small = bpe_stream.Codec(PATH)
     text = "one two three four five six one two"
     assert small.encode(text) == ENCODER.encode(text) and len(small.remembered) <= 3
