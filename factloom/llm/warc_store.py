@@ -1,9 +1,10 @@
 """WARC archives with revisit records, read back by boundary-chain verification.
 
 Writing: a payload's SHA-256 decides which of the equal payloads is the response (the smallest page id) and which are
-revisits. Only pages whose digest falls on a marked place of a fixed-size bitmap can have a twin; the others are written
+revisits. Only pages whose id falls on a marked place of a bitmap of bounded size can be revisits; the others are written
 without a shuffle. Records go out through Spark's own committed text writer, whose line separator is the empty line that
-ends a WARC record, so a lost executor costs its unfinished file alone.
+ends a WARC record, so a lost executor costs its unfinished file alone. Records are written by size class, so that files are bounded
+in bytes and not only in records.
 
 Reading: a task scans a file for the record magic and emits a candidate for each place, with the offset of its
 successor by the declared length. Payloads may hold the magic too. Starting from offset zero, pointer jumping doubles the
@@ -21,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import shared_dir, stored
+from factloom.llm.common import bitmap, parted, shared_dir, stored
 
-LEAST, PLACES, RECORDS_PER_FILE = 100, 1 << 20, 4000
+LEAST = 100
+#: (bytes of payload and address below which a record is of the class, records in a file): 128 MB a file, or one record.
+CLASSES = ((1 << 15, 4000), (1 << 20, 128), (1 << 62, 1))
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 CANDIDATES = (
     "path string, start long, next long, kind string, page_id long, refers_to long, declared string, payload_bytes long, payload_digest string"
@@ -41,21 +44,27 @@ def duplicates(pages: DataFrame, id_col: str = "page_id", payload_col: str = "ht
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = LEAST) -> None:
-    """One record for each page into files under ``path``. Null payloads and addresses are empty.
+    """One record for each page into files under ``path``, a folder for each size class. Null payloads and addresses are empty.
 
-    Rows that repeat a page id are written each for itself; an equal payload under the same id is no revisit. Other columns are not read.
+    Rows that repeat a page id are written each for itself; an equal payload under the same id is no revisit. Other columns are not read. An
+    empty table gives files without records. A header is as long as its address.
     """
     revisits = stored(duplicates(pages, id_col, payload_col, least), "revisits")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
-    marked = revisits.select(place("page_id").alias("place")).distinct()  # at most PLACES rows, so it may be broadcast
+    marks = stored(bitmap(revisits.select("page_id"), revisits.count()), "marks")
     page = pages.select(
         F.col(id_col).alias("page_id"), F.coalesce(F.regexp_replace(uri_col, r"\s", "%20"), F.lit("")).alias("uri"), F.coalesce(payload_col, F.lit("")).alias("payload")
     )
-    digest = F.unhex(F.sha2(F.encode("payload", "utf-8"), 256))
-    placed = page.withColumn("digest", digest).withColumn("place", place("page_id"))
-    alone = placed.join(F.broadcast(marked), "place", "left_anti").withColumn("refers_to", F.lit(None).cast("long"))
-    maybe = placed.join(F.broadcast(marked), "place", "left_semi").join(revisits, ["page_id", "digest"], "left").select(*alone.columns)
-    rows = alone.unionByName(maybe)
+    size, low = F.octet_length("payload") + F.octet_length("uri"), 0
+    for k, (high, records) in enumerate(CLASSES):
+        own = page.where((size >= low) & (size < high)).withColumn("digest", F.unhex(F.sha2(F.encode("payload", "utf-8"), 256)))
+        maybe, alone = parted(own, "page_id", marks)
+        alone = alone.withColumn("refers_to", F.lit(None).cast("long"))
+        rows = alone.unionByName(maybe.join(revisits, ["page_id", "digest"], "left").select(*alone.columns))
+        rows.select(_record().alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(f"{path}/class-{k}")
+        low = high
+
+
+def _record() -> F.Column:
     body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(""))
     common = F.format_string(
         "WARC-Record-ID: <urn:page:%d>\r\nWARC-Target-URI: %s\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha256:%s\r\nContent-Length: %d",
@@ -64,8 +73,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
     kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(
         F.format_string("revisit\r\nWARC-Profile: identical-payload-digest\r\nWARC-Refers-To: <urn:page:%d>", "refers_to")
     )
-    record = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\n"), common, F.lit("\r\n\r\n"), body)
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    return F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\n"), common, F.lit("\r\n\r\n"), body)
 
 
 def scan(content: bytes, file: str):
@@ -120,18 +128,11 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = list(scan(batch.column(1)[i].as_py(), batch.column(0)[i].as_py()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                for at in range(0, len(rows), 1 << 14):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + (1 << 14)]), types)], names)
 
-    spark_conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(spark_conf)
-    spark.conf.set(spark_conf, "4")  # few files at once: each is a whole archive
-    try:
-        found = files.mapInArrow(run, CANDIDATES)
-        # joins carry a number for the file: paths compress so well that a side of a join looks far smaller than it is
-        return stored(found.withColumn("file", F.xxhash64("path")), "candidates")
-    finally:
-        spark.conf.set(spark_conf, before)
+    # joins carry a number for the file: paths compress so well that a side of a join looks far smaller than it is
+    return stored(files.mapInArrow(run, CANDIDATES).withColumn("file", F.xxhash64("path")), "candidates")
 
 
 def reachable(pointers: DataFrame) -> DataFrame:
@@ -149,11 +150,12 @@ def reachable(pointers: DataFrame) -> DataFrame:
     return seen
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
     """The records under ``path``: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
     A revisit's size is that of the response that it names. An empty folder gives no rows. Raises if a payload
-    differs from its record's digest, if a file's chain does not reach the file's end, or if a revisit's response is missing.
+    differs from its record's digest, if a file's chain does not reach the file's end, if there are not as many records as ``expected``, or if a
+    revisit's response is missing. A file is read whole, so its size is bounded by a task's memory and by 2 GB; the writer keeps to 128 MB or one record.
     """
     found = candidates(spark, path)
     seen = reachable(found.select("file", "start", "next"))
@@ -164,6 +166,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     sound = F.when(F.col("kind") == "revisit", F.col("declared")).when(F.col("declared") == F.col("payload_digest"), F.col("payload_digest"))
     sound = F.coalesce(sound, F.raise_error(F.format_string("payload of %s at %d differs from its digest", "path", "start")).cast("string"))
     rows = stored(records.select("page_id", "payload_bytes", sound.alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"), "records")
+    if expected is not None and rows.count() != expected:
+        raise ValueError(f"{path} holds {rows.count()} records; {expected} were written")
     sizes = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("size")).distinct()
     back = rows.where("record_type = 'revisit'").drop("payload_bytes").join(sizes, ["refers_to", "payload_digest"], "left")
     size = F.coalesce("size", F.raise_error(F.format_string("page %d revisits %d, whose response is missing", "page_id", "refers_to")).cast("long"))
@@ -173,8 +177,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op8_warc(spark, sf_dir):
     path = f"{shared_dir(spark)}/factloom-warc-{uuid.uuid4().hex}"
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-    return read_archives(spark, path)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    write_archives(pages, path)
+    return read_archives(spark, path, pages.count())
 
 
 OP8_SQL = """

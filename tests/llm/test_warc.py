@@ -2,7 +2,9 @@ import hashlib
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
+from factloom.llm import common
 from factloom.llm import warc_store as W
 from factloom.llm.common import shared_dir
 from tests.llm.helpers import SF
@@ -41,7 +43,7 @@ def test_edges(spark):
     ]
     got, path = round_trip(spark, rows)
     same(got, rows)
-    names = sorted(x.path for x in spark.read.format("binaryFile").load(path).select("path").collect())
+    names = sorted(x.path for x in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect())
     assert names and W.candidates(spark, path).count() > len(rows)  # the magic inside payloads was a candidate
 
 
@@ -54,10 +56,39 @@ def test_chain_is_followed_over_many_records(spark):
 def test_whole_table_and_saturated_bitmap(spark, monkeypatch):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
     same({r.page_id: r for r in W.op8_warc(spark, SF).collect()}, rows)
-    monkeypatch.setattr(W, "PLACES", 1)
+    monkeypatch.setattr(common, "ROW_BITS", 8)
+    monkeypatch.setattr(common, "MOST_ROWS", 1)
     same(round_trip(spark, rows)[0], rows)
 
 
+def test_bitmap_marks_every_id_and_few_others(spark):
+    ids = spark.range(0, 40_000, 7)
+    for count in (1, 5715):  # too small a count makes a bitmap that marks more, never less
+        maybe, surely = common.parted(spark.range(100_000).withColumn("x", F.lit(1)), "id", common.bitmap(ids, count))
+        found = {r.id for r in maybe.collect()}
+        assert found >= set(range(0, 40_000, 7)) and len(found) + surely.count() == 100_000
+    assert len(found) < 0.25 * 100_000
+    assert common.parted(ids, "id", common.bitmap(ids.where("false"), 0))[1].count() == ids.count()
+    none = spark.createDataFrame([(None,), (7,)], "id long")
+    assert [r.id for r in common.parted(none, "id", common.bitmap(ids, 5715))[0].collect()] == [7]
+
+
+def test_files_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(W, "CLASSES", ((1000, 40), (10_000, 4), (1 << 62, 1)))
+    rows = [(i, "u" * (30_000 if i == 5 else 3), f"{i % 50} " + "x" * (i * 37 % 20_000)) for i in range(300)]
+    got, path = round_trip(spark, rows)
+    same(got, rows)
+    sizes = [r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").collect()]
+    assert len(sizes) > 60 and max(sizes) < 40 * 1400
+
+
+def test_a_lost_file_is_found(spark):
+    rows = [(i, "u", f"page {i}") for i in range(30)]
+    _, path = round_trip(spark, rows)
+    with pytest.raises(ValueError, match="31 were written"):
+        W.read_archives(spark, path, 31)
+
+
 def test_damage_is_found(spark, tmp_path):
     good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     (tmp_path / "a.warc").write_bytes(good)
