@@ -82,6 +82,20 @@ def merged_rows(rows: DataFrame, table: str, ordinal: str, cells: str) -> DataFr
     return by_cell.groupBy(table, "_row").agg(F.min(ordinal).alias(ordinal), ordered.alias(cells)).drop("_row")
 
 
+def contained(spans: DataFrame, sources: DataFrame, span_id: str, source_id: str, text: str) -> DataFrame:
+    """``span_id, source_id`` of every span that is a literal part of a source.
+
+    The longest inner word of a span must be a word of the source, so an equality join on words finds the candidates, and the literal
+    check decides; no span is tried on every source. Of a span of one or two words the longest must be a whole word of the source. Null and empty spans are in none.
+    """
+    words = F.split(F.col(text), r"\s+", -1)
+    longest = lambda part: F.array_max(F.transform(F.filter(part, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    own = spans.select(span_id, F.col(text).alias("_span"), F.coalesce(longest(inner), longest(words)).alias("_key"))
+    every = sources.select(source_id, F.col(text).alias("_text"), F.explode(F.array_distinct(words)).alias("_key"))
+    return every.join(own, "_key").where(F.contains("_text", F.col("_span"))).select(span_id, source_id)
+
+
 def melted(df: DataFrame, keys: list[str], columns: dict[str, str], name: str, value: str) -> DataFrame:
     """Wide columns to rows, named anew; nulls leave."""
     return df.unpivot(keys, list(columns), name, value).where(F.col(value).isNotNull()).replace(columns, subset=[name])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import tokens
 from factloom.operators.selection import broadcast_if_small, suppressed
+from factloom.sources.shared import kept
 
 # Expansions of query words, hints of the two source groups, anchors that a passage should share with its question.
 EXPANSIONS = {
@@ -57,14 +60,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     counted in the row.
     """
     corpus = docs.select("doc_id", tokens(F.col("text")).alias("k")).select("doc_id", "k", F.size("k").alias("dl"))
-    n, mean = corpus.agg(F.count("*"), F.avg("dl")).first()
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = kept(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked")
     words = asked.select("term").distinct()
-    tf = corpus.select("doc_id", "dl", F.explode("k").alias("term")).join(broadcast_if_small(words), "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).persist()
+    n, mean = corpus.agg(F.count("*"), F.avg("dl")).first()
+    tf = corpus.select("doc_id", "dl", F.explode("k").alias("term")).join(broadcast_if_small(words), "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    tf = kept(tf, "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(max(n, 1))) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest(F.col("dl"), F.lit(1)) / F.lit(max(float(mean or 0), 1.0))))
-    weights = asked.join(df.select("term", idf.alias("idf")), "term")
+    weights = kept(asked.join(df.select("term", idf.alias("idf")), "term"), "weights")
     return tf.join(broadcast_if_small(weights), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
@@ -94,28 +98,50 @@ def _grams(word: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substr(word, i, F.lit(n)))
 
 
-def tfidf_index(docs: DataFrame, grams=word_grams) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, g, w``: unit vectors; ``g, idf``), tf = 1 + ln(count), idf = ln((1 + N) / (1 + df)) + 1.
+def counted(grams: Column) -> Column:
+    """(g, n) for each distinct gram of an array: sorted, then the lengths of its runs. Within the row, so that counting needs no shuffle."""
+    run = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    ends = lambda s, at: F.transform(at, lambda a, i: F.struct(F.get(s, a).alias("g"), (F.coalesce(F.get(at, i + 1), F.size(s)) - a).alias("n")))
+    none = F.array().cast("array<struct<g:string,n:int>>")
+    bound = lambda s: F.flatten(F.transform(F.array(run(s)), lambda at: ends(s, at)))  # noqa: E731  both arrays are bound once
+    return F.flatten(F.transform(F.array(F.array_sort(grams)), lambda s: F.when(F.size(s) > 0, bound(s)).otherwise(none)))
 
-    A vector's norm is a window sum over the document, in whose partition the grams already lie after the join with their weights. Keep the index
-    (``persist`` or a table partitioned by a hash of ``g``) when several query sets are asked.
-    """
-    n = docs.count()
-    tf = docs.select("doc_id", F.explode(grams(F.col("text"))).alias("g")).groupBy("doc_id", "g").agg((1 + F.log(F.count("*"))).alias("tf")).persist()
-    idf = tf.groupBy("g").agg(F.count("*").alias("df")).select("g", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = tf.join(idf, "g").select("doc_id", "g", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return weighed.select("doc_id", "g", (F.col("w") / norm).alias("w")), idf
 
+@dataclass
+class Index:
+    """tf-idf vectors of a corpus: ``postings`` (doc_id, a row's (g, n) array), ``idf`` (g, idf), ``norms`` (doc_id, norm); made once and kept."""
 
-def tfidf(docs: DataFrame, queries: DataFrame, grams=word_grams) -> DataFrame:
-    """``query_id, doc_id, score``: cosine of tf-idf vectors. Query grams that no document has are dropped before the query's norm."""
-    index, idf = tfidf_index(docs, grams)
-    asked = queries.select("query_id", F.explode(grams(F.col("text"))).alias("g")).groupBy("query_id", "g").agg((1 + F.log(F.count("*"))).alias("tf"))
-    asked = asked.join(idf, "g").select("query_id", "g", (F.col("tf") * F.col("idf")).alias("q"))
-    qn = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query_id")))
-    asked = asked.select("query_id", "g", (F.col("q") / qn).alias("q"))
-    return index.join(broadcast_if_small(asked), "g").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("score"))
+    postings: DataFrame
+    idf: DataFrame
+    norms: DataFrame
+    grams: object
+
+
+def tfidf_index(docs: DataFrame, grams=word_grams) -> Index:
+    """tf = 1 + ln(count), idf = ln((1 + N) / (1 + df)) + 1.
+
+    Grams are counted inside the row. The corpus of postings is shuffled once, to meet its grams' weights; document frequencies and norms are sums that
+    are combined before their shuffle. Ask as many query sets as you like.
+    """
+    postings = kept(docs.select("doc_id", counted(grams(F.col("text"))).alias("k")), "postings")
+    n = postings.count()
+    each = postings.select("doc_id", F.explode("k").alias("x")).select("doc_id", F.col("x.g").alias("g"), (1 + F.log("x.n")).alias("tf"))
+    idf = kept(each.groupBy("g").agg((F.log(F.lit(1.0 + n) / (1 + F.count("*"))) + 1).alias("idf")), "idf")
+    w = F.col("tf") * F.col("idf")
+    norms = kept(each.join(idf, "g").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm")), "norms")
+    return Index(postings, idf, norms, grams)
+
+
+def tfidf(index: Index, queries: DataFrame) -> DataFrame:
+    """``query_id, doc_id, score``: cosine of tf-idf vectors. Query grams that no document has are dropped before the query's norm; of the corpus only the queries' grams are kept."""
+    asked = queries.select("query_id", F.explode(counted(index.grams(F.col("text")))).alias("x")).select("query_id", F.col("x.g").alias("g"), (1 + F.log("x.n")).alias("tf"))
+    asked = asked.join(index.idf, "g").select("query_id", "g", (F.col("tf") * F.col("idf")).alias("q"), "idf")
+    asked = kept(asked, "asked")
+    qn = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
+    each = index.postings.select("doc_id", F.explode("k").alias("x")).select("doc_id", F.col("x.g").alias("g"), (1 + F.log("x.n")).alias("tf"))
+    dots = each.join(broadcast_if_small(asked), "g").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
+    found = dots.join(index.norms, "doc_id").join(broadcast_if_small(qn), "query_id")
+    return found.select("query_id", "doc_id", (F.col("dot") / F.col("norm") / F.col("qn")).alias("score"))
 
 
 def top_n(scores: DataFrame, n: int, digits: int = 9) -> DataFrame:
@@ -170,7 +196,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, top_k: int = 5, source_gro
     asked = questions.select("query_id", "text", F.posexplode(variants(F.col("text"))).alias("v", "variant"))
     each = asked.select(F.concat_ws("#", F.col("query_id").cast("string"), F.col("v").cast("string")).alias("query_id"), expanded(F.col("variant")).alias("text"))
     base = chunks.select("doc_id", "text")
-    words, chars = tfidf(base, each, word_grams), tfidf(base, each, char_grams)
+    words, chars = tfidf(tfidf_index(base, word_grams), each), tfidf(tfidf_index(base, char_grams), each)
     blend = words.select("query_id", "doc_id", (0.35 * F.col("score")).alias("score")).unionByName(chars.select("query_id", "doc_id", (0.65 * F.col("score")).alias("score")))
     blend = blend.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     ranked = [top_n(blend, pool), top_n(bm25(base, each), pool)]

@@ -91,12 +91,12 @@ def a18_latency_summary(t):
 
 
 @query(
-    """WITH c AS (SELECT l_returnflag || ':' || l_linestatus || ':' || l_linenumber AS code FROM lineitem WHERE l_discount > 0.08)
+    """WITH c AS (SELECT l_returnflag || ':' || l_linestatus || ':' || l_linenumber AS code FROM lineitem)
 SELECT 'full' AS level, code, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'prefix', split_part(code, ':', 1) || ':' || split_part(code, ':', 2), count(*) FROM c GROUP BY ALL"""
 )
 def a19_failure_tally(t):
     """A-19: failures by code and by the code's first two parts."""
-    codes = t("lineitem").where("l_discount > 0.08").select(F.concat_ws(":", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("code"))
+    codes = t("lineitem").select(F.concat_ws(":", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("code"))
     return failure_tally(codes, "code")
 
 

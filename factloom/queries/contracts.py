@@ -25,11 +25,11 @@ def f20_cacheable(t):
     return t("conversations").select("conv_id", "turn", ok.alias("cacheable"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, json_object('quantity', CAST(l_quantity AS INTEGER), 'flag', l_returnflag) AS public FROM lineitem WHERE l_partkey < 100")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, json_object('quantity', CAST(l_quantity AS INTEGER), 'flag', l_returnflag) AS public FROM lineitem")
 def f21_public_shape(t):
     """F-21: internal fields leave a nested record."""
     record = F.struct(F.col("l_quantity").cast("int").alias("quantity"), F.col("l_returnflag").alias("flag"), F.col("l_tax").alias("_rank"), F.col("l_suppkey").alias("_source"))
-    rows = t("lineitem").where("l_partkey < 100").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", record.alias("r"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", record.alias("r"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_json(F.col("r").dropFields("_rank", "_source")).alias("public"))
 
 
@@ -46,10 +46,10 @@ def s10_cache_listing(t):
     return t("events").where("event_type = 'purchase'").orderBy(F.desc("ts"), "event_id").limit(30).select("event_id", "ts")
 
 
-@query("SELECT user_id, string_agg(event_id, '|' ORDER BY event_id) AS ids, json_object('n', count(*), 'most', max(event_id)) AS summary FROM events WHERE user_id < 200 GROUP BY ALL")
+@query("SELECT user_id, string_agg(event_id, '|' ORDER BY event_id) AS ids, json_object('n', count(*), 'most', max(event_id)) AS summary FROM events GROUP BY ALL")
 def s18_csv_shape(t):
     """S-13, S-18: lists joined and records as JSON, as a CSV sink takes them."""
-    out = t("events").where("user_id < 200").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"), F.struct(F.count("*").alias("n"), F.max("event_id").alias("most")).alias("s"))
+    out = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"), F.struct(F.count("*").alias("n"), F.max("event_id").alias("most")).alias("s"))
     return out.select("user_id", F.concat_ws("|", F.transform("ids", lambda x: x.cast("string"))).alias("ids"), F.to_json("s").alias("summary"))
 
 
@@ -58,7 +58,7 @@ def s18_csv_shape(t):
 SELECT DISTINCT o_custkey, o_orderdate, o_orderstatus FROM fetched f WHERE o_orderstatus IN ('O', 'F') AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.o_custkey = f.o_custkey AND s.o_orderdate IS NOT DISTINCT FROM f.o_orderdate AND s.o_orderstatus = f.o_orderstatus)"""
 )
 def s20_sync(t):
-    """S-20, S-22: fetched versions that are allowed and not yet stored; null dates are equal to null dates."""
+    """S-20: fetched versions that are allowed and not yet stored; null dates are equal to null dates."""
     fetched = t("orders").where("o_custkey % 3 <> 0").where(F.col("o_orderstatus").isin("O", "F")).select("o_custkey", "o_orderdate", "o_orderstatus").distinct()
     stored = t("orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("d"), F.col("o_orderstatus").alias("s")).distinct()
     return fetched.join(stored, (F.col("o_custkey") == F.col("k")) & F.col("o_orderdate").eqNullSafe(F.col("d")) & (F.col("o_orderstatus") == F.col("s")), "left_anti")
@@ -86,7 +86,7 @@ def w15_description_bound(t):
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey AS t, l_linenumber * 100000 + l_partkey AS i, [CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END, CAST(l_linenumber AS VARCHAR)] AS c FROM lineitem WHERE l_orderkey < 4000 QUALIFY row_number() OVER (PARTITION BY l_orderkey, i ORDER BY l_suppkey, l_tax, l_extendedprice) = 1),
+    """WITH r AS (SELECT l_orderkey AS t, l_linenumber * 100000 + l_partkey AS i, [CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END, CAST(l_linenumber AS VARCHAR)] AS c FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, i ORDER BY l_suppkey, l_tax, l_extendedprice) = 1),
  n AS (SELECT *, sum((c[1] <> '')::INT) OVER (PARTITION BY t ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM r)
 SELECT t, min(i) AS i, coalesce(string_agg(nullif(c[1], ''), ' ' ORDER BY i), '') || '/' || string_agg(c[2], ' ' ORDER BY i) AS cells FROM n GROUP BY t, g"""
 )
@@ -96,7 +96,7 @@ def w10_wrapped_rows(t):
     from factloom.operators.selection import first_per
 
     i = (F.col("l_linenumber") * 100_000 + F.col("l_partkey")).alias("i")
-    rows = t("lineitem").where("l_orderkey < 4000").select(F.col("l_orderkey").alias("t"), i, F.array(F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")), F.col("l_linenumber").cast("string")).alias("c"), "l_suppkey", "l_tax", "l_extendedprice")
+    rows = t("lineitem").select(F.col("l_orderkey").alias("t"), i, F.array(F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")), F.col("l_linenumber").cast("string")).alias("c"), "l_suppkey", "l_tax", "l_extendedprice")
     rows = first_per(rows, ["t", "i"], [F.col("l_suppkey"), F.col("l_tax"), F.col("l_extendedprice")])
     out = merged_rows(rows, "t", "i", "c")
     return out.select("t", "i", F.concat_ws("/", F.coalesce(F.get("c", 0), F.lit("")), F.get("c", 1)).alias("cells"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
+from factloom.operators.extraction import contained
 from factloom.queries.base import query
 
 LINES = "(SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) r(i))"
@@ -59,13 +60,12 @@ def x16_structure_kinds(t):
 
 
 @query(
-    """WITH b AS (SELECT item_id, string_split(text, ' ')[1] AS w FROM benchmark), d AS (SELECT doc_id, text FROM documents) SELECT d.doc_id, count(DISTINCT b.item_id) AS n_anchors FROM (SELECT doc_id, unnest(list_distinct(string_split_regex(text, '\\s+'))) AS w FROM d) d JOIN b USING (w) GROUP BY ALL"""
+    """SELECT doc_id, count(DISTINCT item_id) AS n_anchors FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> '' GROUP BY ALL"""
 )
 def x17_heading_anchors(t):
-    """X-17, J-20: anchors that are literal words of a source; an equality join on words, not a scan for each anchor."""
-    anchors = t("benchmark").select("item_id", F.split_part(F.col("text"), F.lit(" "), F.lit(1)).alias("w"))
-    words = t("documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
-    return words.join(anchors, "w").groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_anchors"))
+    """X-17, J-20: passages that are literal spans of a source."""
+    found = contained(t("benchmark"), t("documents"), "item_id", "doc_id", "text")
+    return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_anchors"))
 
 
 @query(

@@ -40,7 +40,7 @@ def r04_bm25(t):
 @query(BM25 + TFIDF + " SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM c")
 def r06_word_tfidf(t):
     """R-06, R-07: cosine of word and word-pair tf-idf vectors."""
-    out = R.top_n(R.tfidf(t("documents").select("doc_id", "text"), asked(t)), 80)
+    out = R.top_n(R.tfidf(R.tfidf_index(t("documents").select("doc_id", "text")), asked(t)), 80)
     return out.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -52,28 +52,28 @@ SELECT query_id, doc_id, round(fused, 6) AS fused, round(most_bm25, 6) AS most_b
 def a08_rank_fusion(t):
     """A-08, A-09, F-11, R-08: reciprocal rank fusion; the source filter stands after it, as ranks are over all sources."""
     docs = t("documents").select("doc_id", "text")
-    b, c = R.top_n(R.bm25(docs, asked(t)), 80), R.top_n(R.tfidf(docs, asked(t)), 80)
+    b, c = R.top_n(R.bm25(docs, asked(t)), 80), R.top_n(R.tfidf(R.tfidf_index(docs), asked(t)), 80)
     both = b.withColumn("k", F.lit("b")).unionByName(c.withColumn("k", F.lit("c")))
     most = lambda k: F.round(F.max(F.when(F.col("k") == k, F.col("score"))), 6)
     f = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 6).alias("fused"), most("b").alias("most_bm25"), most("c").alias("most_tfidf"))
     return f.join(t("documents").select("doc_id", "source"), "doc_id").where(F.col("source").isin("src0", "src1", "src2"))
 
 
-GRAMS = "[' ' || x || ' ' for x in string_split_regex(lower(url), '\\s+') if x <> '']"
+GRAMS = "[' ' || x || ' ' for x in string_split_regex(lower(text), '\\s+') if x <> '']"
 CHARS = f"flatten([flatten([[substr(w, i, n) for i in range(1, greatest(length(w) - n + 1, 1) + 1)] for n in range(2, 6) if length(w) >= n OR n = 2]) for w in {GRAMS}])"
 
 
 @query(
-    f"""WITH grams AS (SELECT page_id AS doc_id, unnest({CHARS}) AS g FROM pages), gtf AS (SELECT doc_id, g, 1 + ln(count(*)) AS tf FROM grams GROUP BY ALL),
- gdf AS (SELECT g, ln((1.0 + (SELECT count(*) FROM pages)) / (1 + count(*))) + 1 AS idf FROM gtf GROUP BY ALL), dw AS (SELECT doc_id, g, tf * idf AS w FROM gtf JOIN gdf USING (g)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY ALL),
- c AS (SELECT a.doc_id AS query_id, b.doc_id, round(sum(a.w * b.w) / any_value(x.n) / any_value(y.n), 9) AS score FROM dw a JOIN dw b USING (g) JOIN dn x ON x.doc_id = a.doc_id JOIN dn y ON y.doc_id = b.doc_id WHERE a.doc_id % 50 = 0 GROUP BY ALL)
+    f"""WITH grams AS (SELECT doc_id, unnest({CHARS}) AS g FROM documents), gtf AS (SELECT doc_id, g, 1 + ln(count(*)) AS tf FROM grams GROUP BY ALL),
+ gdf AS (SELECT g, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM gtf GROUP BY ALL), dw AS (SELECT doc_id, g, tf * idf AS w, idf FROM gtf JOIN gdf USING (g)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY ALL),
+ qg AS (SELECT query_id, g, 1 + ln(count(*)) AS tf FROM (SELECT item_id AS query_id, unnest({CHARS}) AS g FROM benchmark) GROUP BY ALL), qw AS (SELECT query_id, g, tf * idf AS w FROM qg JOIN gdf USING (g)), qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY ALL),
+ dots AS (SELECT query_id, doc_id, sum(a.w * b.w) AS dot FROM qw a JOIN dw b USING (g) GROUP BY ALL),
+ c AS (SELECT query_id, doc_id, round(dot / dn.n / qn.n, 9) AS score FROM dots JOIN dn USING (doc_id) JOIN qn USING (query_id))
 SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, round(score, 6) AS score FROM c WHERE score > 0 QUALIFY rank <= 10"""
 )
 def r05_char_tfidf(t):
-    """R-05, R-07: cosine of character n-grams inside words; every fiftieth address asks."""
-    docs = t("pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))
-    asked = docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
-    out = R.top_n(R.tfidf(docs, asked, R.char_grams), 10)
+    """R-05, R-07: cosine of character n-grams inside words of whole texts; every passage asks."""
+    out = R.top_n(R.tfidf(R.tfidf_index(t("documents").select("doc_id", "text"), R.char_grams), asked(t)), 10)
     return out.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
