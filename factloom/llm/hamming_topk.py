@@ -6,6 +6,9 @@ segments 0..a have been searched to radius r and the others to r - 1, every code
 seen: one no further off would differ by r or fewer bits in one of the former or by r - 1 or fewer in one of the latter. A query
 closes when its k-th verified distance is covered so. The first rounds are cheap and take all segments at once. Copies are
 searched once: the index holds distinct codes with their number and k smallest ids, and queries with equal codes share one search.
+
+What a probe finds is cut to each query's ``k`` best codes in the task that found it, before any shuffle, so a segment value that very many
+codes share sends no more than that; joins on such a value are between written tables, which Spark splits.
 """
 
 from __future__ import annotations
@@ -94,10 +97,14 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         near = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & (distance <= F.col("a.bound")))
         near = near.select(F.col("a.code").alias("code"), F.col("b.code").alias("found"), distance.alias("distance"), F.col("b.ids").alias("ids"))
         pool = near if best is None else near.unionByName(best)
-        nearer = Window.partitionBy("code").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum(F.size("ids")).over(nearer), F.lit(0))
-        pool = stored(pool.distinct().withColumn("before", before).where(F.col("before") < k).drop("before"), "nearest")
-        full = pool.groupBy("code").agg(F.sum(F.size("ids")).alias("held"), F.max("distance").alias("last"))
+        # a code that several segments find has one rank; limited to k ranks before the shuffle, too
+        rank = F.dense_rank().over(Window.partitionBy("code").orderBy("distance", F.get("ids", 0), "found"))
+        pool = stored(pool.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank").distinct(), "nearest")
+        reach = F.aggregate(
+            F.array_sort(F.collect_list(F.struct("distance", F.size("ids").alias("n")))), F.struct(F.lit(0).alias("held"), F.lit(BITS).alias("last")),
+            lambda a, x: F.when(a["held"] >= need, a).otherwise(F.struct((a["held"] + x["n"]).alias("held"), x["distance"].cast("int").alias("last"))),
+        )
+        full = pool.groupBy("code").agg(reach.alias("r")).select("code", "r.held", "r.last")
         state = open_.select("code").join(full, "code", "left").withColumn("held", F.coalesce("held", F.lit(0)))
         state = stored(state.withColumn("closed", (F.col("held") >= need) & ((F.col("last") <= covered) | F.lit(need == rows))), "state")
         done.append(pool.join(state.where("closed"), "code", "left_semi"))
