@@ -2,10 +2,11 @@
 
 A page's text falls into blocks, each with its root-to-leaf tag path (tags with their classes). Text length and
 punctuation are summed per path and divided by the path's number of blocks; the two ratios are fused, smoothed over
-neighbouring blocks in page order, averaged per path again, and paths at or above a share of their deviation are content.
+neighbouring blocks in page order, averaged per path again, and paths at or above a share of the level of the path that holds most
+text are content. So are blocks that stand between them at the same place, and headings right before them.
 Paths under what is boilerplate by its nature (menus, forms, adverts, reader comments ...) weigh nothing. Where a
-page states which element is its article and that holds most of the text outside links, this weighs in the ratios: the bar
-falls for paths inside, linked headings and lists included, and rises by the weight for paths outside.
+page states which element is its article and that holds most of the text outside links, this shifts the threshold: down
+for paths inside, linked headings and lists included, and up for paths outside.
 """
 
 from __future__ import annotations
@@ -51,13 +52,33 @@ COMPOUNDS = frozenset([f"{k}-{p}" for k in KINDS for p in PARTS] + [f"{p}-{k}" f
 OUTSIDE = frozenset(["header", "topbar", *(f"{p}-header" for p in ("site", "page", "main", "global")), *(f"header-{p}" for p in PARTS)])
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 HEADING = re.compile(r"h[1-6](?:\.|$)")
-THRESHOLD = 0.5
-#: What a stated article weighs in the fused ratio.
-WEIGHT = 20.0
+#: The share of the main path's level that content reaches, and by how much a stated article lowers it inside and raises it outside.
+THRESHOLD, INSIDE, OUTSIDE_MORE = 0.65, 0.65, 0.25
 #: Marked text of so many times the length of the article beside it is not boilerplate.
 TEASER = 8
 
 
+class Path:
+    """A root-to-leaf tag path: its last step and the path above it. Equal paths of one page are one object, so a page's memory is linear in its elements, however deep they lie."""
+
+    __slots__ = ("above", "step", "below")
+
+    def __init__(self, above: Path | None, step: str):
+        self.above, self.step, self.below = above, step, {}
+
+    def to(self, step: str) -> Path:
+        if step not in self.below:
+            self.below[step] = Path(self, step)
+        return self.below[step]
+
+    def __str__(self) -> str:
+        steps, at = [], self
+        while at.above:
+            steps.append(at.step)
+            at = at.above
+        return "/" + "/".join(reversed(steps))
+
+
 class _Element:
     __slots__ = ("tag", "path", "never", "article", "link", "mark")
 
@@ -93,10 +114,16 @@ def _standing(found: list[tuple], marks: list[tuple[int, bool, bool]]) -> list[b
     return stands
 
 
-def blocks(html: str) -> list[tuple[str, str, int, bool, bool]]:
+def blocks(html: str) -> list[tuple[Path, str, int, bool, bool]]:
     """(path, text, characters in links, boilerplate by nature, in the article) of every block with text, in page order."""
-    root = _Element("", "", False, False, False)
+    root = _Element("", Path(None, ""), False, False, False)
     stack, out, at = [root], [], 0
+    opened: dict[str, int] = defaultdict(int)  # open elements by tag, so that a stray end tag costs no walk up the stack
+
+    def pop(k: int):
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
     marks = [(0, False, False)]
     texts: list[str] = []
     link_chars, owner = 0, root
@@ -139,9 +166,8 @@ def blocks(html: str) -> list[tuple[str, str, int, bool, bool]]:
         if tag not in INLINE:
             flush()
         if closing:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                del stack[k:]
+            if opened[tag]:
+                pop(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
@@ -153,7 +179,7 @@ def blocks(html: str) -> list[tuple[str, str, int, bool, bool]]:
             gone = CLOSES.get(tag, set())
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p" or stack[k].tag in gone:
-                    del stack[k:]
+                    pop(k)
                     if stack[-1].tag not in gone:
                         break
                 elif stack[k].tag not in INLINE:
@@ -175,7 +201,8 @@ def blocks(html: str) -> list[tuple[str, str, int, bool, bool]]:
             marks.append((mark, top.article, any(n in COMMENTS or n.startswith(("comment-", "comments-")) for n in names)))
             mark = len(marks) - 1
         key = f"{tag}.{'.'.join(sorted(named.split()))}" if named else tag
-        stack.append(_Element(tag, f"{top.path}/{key}", never, article, top.link or tag == "a", mark))
+        stack.append(_Element(tag, top.path.to(key), never, article, top.link or tag == "a", mark))
+        opened[tag] += 1
     flush()
     stands = _standing(out, marks)
     return [(path, text, linked, never or stands[mark], article) for path, text, linked, never, article, mark in out]
@@ -187,40 +214,46 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel, "full")[2:-2] / weight
 
 
-def content_paths(found: list[tuple[str, str, int, bool, bool]], threshold: float = THRESHOLD) -> set[str]:
-    """The paths whose fused, smoothed ratio reaches ``threshold`` deviations."""
+def content(found: list[tuple[Path, str, int, bool, bool]], threshold: float = THRESHOLD) -> list[bool]:
+    """For each block whether it is content: its path's fused, smoothed ratio reaches ``threshold`` times that of the path with most text outside links."""
     sums = defaultdict(lambda: np.zeros(4))  # characters, punctuation, blocks, characters in links
     for path, text, linked, never, _ in found:
         if not never:
             sums[path] += (len(text), len(PUNCTUATION.findall(text)), 1, linked)
     if not sums:
-        return set()
+        return [False] * len(found)
     fused = {p: (s[0] - s[3]) / s[2] * (1 + s[1] / s[2]) * (1 - min(1.0, s[3] / s[0])) for p, s in sums.items()}
     line = _smooth(np.log1p([0.0 if never else fused[path] for path, _, _, never, _ in found]))
     mean = defaultdict(list)
     for (path, _, _, never, _), v in zip(found, line):
         if not never:
             mean[path].append(v)
-    cut = threshold * float(np.std(line))
+    value = {p: min(float(np.mean(v)), float(np.log1p(fused[p]))) for p, v in mean.items()}  # its own ratio too: its neighbours may be the article
     unlinked = {p: s[0] - s[3] for p, s in sums.items()}
+    level = value[max(unlinked, key=unlinked.get)]
     stated = {p for p, _, _, never, article in found if article and not never}
     trusted = 2 * sum(unlinked[p] for p in stated) > sum(unlinked.values())
-    if trusted:
-        bar = cut + max(cut, float(np.log(WEIGHT)))
-        chosen = {p for p, v in mean.items() if min(np.mean(v), np.log1p(fused[p])) >= bar and p not in stated}  # its own ratio too: the article is its neighbour
-    else:
-        chosen = {p for p, v in mean.items() if np.mean(v) >= cut and fused[p] > 0}
-    if chosen:  # headings, linked ones too, and short blocks that stand beside chosen paragraphs
-        homes = {p.rpartition("/")[0] for p in chosen}
-        chosen |= {p for p in fused if p.rpartition("/")[0] in homes and (fused[p] > 0 or HEADING.match(p.rpartition("/")[2]))}
-    return chosen | stated if trusted else chosen or {p for p in fused if fused[p] > 0}
-
-
-def main_text(html: str | None) -> str:
+    shift = {p: (-INSIDE if p in stated else OUTSIDE_MORE) if trusted else 0.0 for p in sums}
+    chosen = {p for p in sums if value[p] >= (threshold + shift[p]) * level and (fused[p] > 0 or p in stated and trusted)}
+    if not chosen:
+        chosen = {p for p in fused if fused[p] > 0}
+    taken = [not never and path in chosen for path, _, _, never, _ in found]
+    homes = {p.above for p in chosen}
+    if any(taken):
+        first, last = taken.index(True), len(taken) - 1 - taken[::-1].index(True)
+        while first and not found[first - 1][3] and HEADING.match(found[first - 1][0].step) and found[first - 1][0].above in homes:
+            first -= 1
+        for k in range(first, last + 1):
+            path, _, _, never, _ = found[k]
+            if not never and path.above in homes and (fused[path] > 0 or HEADING.match(path.step)):
+                taken[k] = True
+    return taken
+
+
+def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     """The main text of one page: its content blocks in page order, joined by an empty line; empty if there is none."""
     found = blocks(html or "")
-    paths = content_paths(found)
-    return "\n\n".join(text for path, text, _, never, _ in found if not never and path in paths)
+    return "\n\n".join(text for (_, text, _, _, _), take in zip(found, content(found, threshold)) if take)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

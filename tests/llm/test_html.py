@@ -106,3 +106,33 @@ def test_long_comments_beside_an_article_leave():
     assert H.main_text(f"<body><article><p>{LONG}</p></article><div class=ad><p>{LONG} {LONG}</p></div></body>") == LONG
     assert said.count(LONG) == H.main_text(f"<body><article>Teaser</article><div class='post notice'>{said.replace('comment', 'x')}</div></body>").count(LONG)
     assert H.main_text(f"<body class=single><div class=sidebar><article><p>{LONG}</p></article></div></body>") == LONG
+
+
+def stripped(html, tag):
+    """The page without classes and with no element that states the article."""
+    bare = re.sub(r'\sclass="?[^">]*"?', "", html)
+    return re.sub(r"<(/?)article>", rf"<\1{tag}>" if tag else "", bare)
+
+
+@pytest.mark.parametrize("tag", ["div", "section", ""])
+def test_the_ratios_find_the_text_where_nothing_states_it(spark, tag):
+    pages = [r.html for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").select("html").collect()]
+    right = [H.main_text(stripped(h, tag)) == plain_reading(h) for h in pages if len(plain_reading(h)) >= 120 * (plain_reading(h).count("\n\n") + 1)]
+    assert len(right) > 200 and sum(right) >= 0.93 * len(right)
+
+
+def test_the_threshold_changes_the_choice():
+    page = f"<body><section><p>Short advert, buy it now.</p></section><div><p>{LONG}</p><div><p>{LONG * 4}</p></div></div></body>"
+    texts = [H.main_text(page, t) for t in (0.1, 0.7, 0.95)]
+    assert "advert" in texts[0] and "advert" not in texts[1] and LONG in texts[1] and len(texts[2]) < len(texts[1])
+
+
+def test_deep_pages_take_linear_memory_and_time():
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.time()
+    assert H.main_text("<div class=x>" * 60_000 + "Text, here." + "</b>" * 60_000) == "Text, here."
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000 and time.time() - began < 120
+    tracemalloc.stop()
