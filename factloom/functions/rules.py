@@ -18,6 +18,8 @@ IRP_DENIED = r"(?i)" + IRP_LABEL + r"[^.。;\n]{0,32}?(?:불가|불가능|금지
 IRP_AFFIRMED = r"(?i)" + IRP_LABEL + r"\s*(?:계좌\s*)?(?:가입\s*(?:가능|허용)|가입할\s*수\s*있|전용|가입자|가입\s*대상|투자\s*가능|매수\s*가능)"
 IRP_CLAUSES = r"[.。;\n]|(?:하지만|다만|그러나)"
 IRP_CODES = ["IRP", "INDIVIDUAL_RETIREMENT_PENSION", "PERSONAL_RETIREMENT_PENSION"]
+IRP_NAMES = ["개인형퇴직연금", "개인퇴직계좌"]
+OTHERS_ONLY = r"(?i)(?:DB|DC)\s*형\s*(?:전용|가입자\s*(?:전용|만)|만(?:의|을)?)"
 
 
 def risk_bucket(label: Column, grade: Column) -> Column:
@@ -46,11 +48,17 @@ def evidence_score(*facts: Column) -> Column:
     return sum((F.coalesce(f, F.lit(False)).cast("int") for f in facts), F.lit(0))
 
 
-def eligibility(codes: Column, *texts: Column) -> Column:
-    """ELIGIBLE only by explicit affirmation, INELIGIBLE by denial, UNRESOLVED if both or neither."""
+def eligibility(codes: Column, *texts: Column, types: tuple[Column, ...] = ()) -> Column:
+    """ELIGIBLE only by explicit affirmation, INELIGIBLE by denial or by being for DB or DC members only, UNRESOLVED if both or neither.
+
+    ``types``: texts that name a pension type; the exact name of the type affirms too.
+    """
     yes = F.exists(F.coalesce(codes, F.array().cast("array<string>")), lambda c: F.upper(F.trim(c)).isin(IRP_CODES))
     no = F.lit(False)
-    for text in texts:
+    for name in types:
+        yes = yes | F.coalesce(F.upper(F.regexp_replace(name, r"\s+", "")).isin(IRP_CODES + IRP_NAMES), F.lit(False))
+    for text in (*texts, *types):
+        no = no | F.coalesce(text.rlike(OTHERS_ONLY), F.lit(False))
         clauses = F.split(F.coalesce(text, F.lit("")), IRP_CLAUSES)
         no = no | F.exists(clauses, lambda c: c.rlike(IRP_DENIED))
         yes = yes | F.exists(clauses, lambda c: c.rlike(IRP_AFFIRMED) & ~c.rlike(IRP_DENIED))

@@ -122,19 +122,32 @@ def severity(message: Column) -> Column:
 
 
 def numeric_facts(text: Column) -> Column:
-    """Distinct (value, unit) of a text's numbers: scaled Korean won units, percent in words or as a fraction of 100."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"100\s*분의\s*(\d+(?:\.\d+)?)", "$1%")
-    unit = UNITS
-    raw = F.regexp_extract_all(plain, F.lit(rf"((?<![A-Za-z0-9])[+-]?\d[\d,]*(?:\.\d+)?\s*(?:{unit})?)"), 1)
+    """Distinct (value, unit) that a text states: dates and times by their parts, numbers without zeros at their end, won and percent in one form.
+
+    Names of files, numbers of list items and codes of letters and digits state nothing.
+    """
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\S+\.(?:pdf|docx|json)(?![\p{L}\p{N}_])", "")
+    plain = F.regexp_replace(plain, r"(?m)^\s*\d+[.)]\s+", "")
+    plain = F.regexp_replace(plain, r"100\s*분의\s*(\d+(?:\.\d+)?)", "$1%")
+    joint = r"(?<!\d)20\d{2}[-./]\d{1,2}[-./]\d{1,2}|(?<![\p{L}\p{N}_])\d{1,2}:\d{2}(?![\p{L}\p{N}_])"
+
+    def moment(x):
+        parts = F.transform(F.regexp_extract_all(x, F.lit(r"(\d+)"), 1), lambda n: n.cast("int").cast("string"))
+        return F.struct(F.array_join(parts, ":").alias("value"), F.when(F.contains(x, F.lit(":")), "time").otherwise("date").alias("unit"))
+
+    moments = F.transform(F.regexp_extract_all(plain, F.lit(f"({joint})"), 1), moment)
+    rest = F.regexp_replace(plain, joint, "")
+    rest = F.regexp_replace(rest, r"(?<![\p{L}\p{N}_])[A-Za-z][A-Za-z0-9_-]*\d[A-Za-z0-9_-]*(?![\p{L}\p{N}_])", "")
+    raw = F.regexp_extract_all(rest, F.lit(rf"((?<![A-Za-z0-9])[+-]?\d[\d,]*(?:\.\d+)?\s*(?:{UNITS})?)"), 1)
 
     def fact(x):
-        u = F.regexp_replace(F.regexp_extract(x, rf"({unit})$", 1), r"\s", "")
+        u = F.regexp_replace(F.regexp_extract(x, rf"({UNITS})$", 1), r"\s", "")
         scale = F.when(u == "만원", F.lit(10_000)).when(u == "억원", F.lit(100_000_000)).otherwise(F.lit(1))
         value = F.replace(F.regexp_extract(x, r"([+-]?\d[\d,]*(?:\.\d+)?)", 1), F.lit(","), F.lit("")).try_cast("decimal(28,6)") * scale
         name = F.when(u.isin("만원", "억원"), "원").when(u == "퍼센트", "%").otherwise(u)
-        return F.struct(value.cast("decimal(34,6)").alias("value"), name.alias("unit"))
+        return F.struct(F.regexp_replace(value.cast("decimal(34,6)").cast("string"), r"\.?0+$", "").alias("value"), name.alias("unit"))
 
-    return F.array_distinct(F.transform(raw, fact))
+    return F.array_distinct(F.concat(moments, F.transform(raw, fact)))
 
 
 def unsupported_facts(answer: Column, evidence: Column) -> Column:

@@ -101,15 +101,28 @@ def r10_multipliers(t):
     return t("events").select("event_id", R.source_multiplier(q, group).alias("by_source"), F.round(R.content_multiplier(q, x), 6).alias("by_content"))
 
 
-ROUTES = """CASE WHEN lower(text) LIKE '%worthless%' OR lower(text) LIKE '%idiot%' THEN 'guard' WHEN regexp_matches(text, '[0-9]{3}') THEN 'calculation' WHEN length(text) > 2000 THEN 'document' ELSE 'product' END"""
+#: Questions of every kind with the intent, the sources and the legal topic that the rules give them.
+ASKED = [
+    ("지금 즉시 매수 주문을 넣어줘", "action_request", "document", None), ("보유한 상품보다 수익률 높은 순으로 추천", "compound_holding", "document", None),
+    ("IRP는 무조건 중도인출이 안 되는 것이 맞나요", "correction", "document+law", "IRP_WITHDRAWAL"), ("이 펀드의 위험평가액은", "product_attribute", "product", None),
+    ("실물이전 불가사유 코드를 알려줘", "procedure", "document", None), ("총보수가 가장 낮은 펀드 추천", "product_search", "product", None), ("클래스별 수수료", "product_attribute", "product", None),
+    ("연금소득은 어떻게", "tax_calculation", "calculation", None), ("DB형과 DC형의 차이", "institution", "document", "DB"), ("안녕하세요", "general", "document", None),
+    ("세액공제 한도는 얼마까지", "tax_calculation", "document+calculation", "TAX_CREDIT"), ("ISA 만기 납입 환급 계산", "tax_calculation", "calculation", None), ("퇴직금 과세이연과 분리과세 선택지", "tax_calculation", "document+law", None),
+    ("장외파생 한도는 몇 퍼센트", "general", "document+product", None), ("편입 당시 등급이 바뀌면", "product_attribute", "document", None), ("확정기여형 관련 법령 조문", "general", "law", "DC"),
+    ("미래에셋배당커버드콜펀드 클래스 비교해줘", "product_search", "product", None), ("개인형퇴직연금 제도 설명", "institution", "document", "IRP"),
+]
 
 
-@query(f"SELECT doc_id, {ROUTES} AS route FROM documents")
+@query(
+    "WITH k AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', {repr(c) if c else 'NULL'})" for i, (_, a, b, c) in enumerate(ASKED)) + f") v(i, intent, route, topic)) SELECT event_id, intent, route, topic FROM events JOIN k ON event_id % {len(ASKED)} = i"
+)
 def r16_router(t):
-    """R-14 to R-18: an ordered list of rules, the first that applies."""
-    low = F.lower("text")
-    route = F.when(F.contains(low, F.lit("worthless")) | F.contains(low, F.lit("idiot")), "guard").when(F.col("text").rlike("[0-9]{3}"), "calculation").when(F.length("text") > 2000, "document").otherwise("product")
-    return t("documents").select("doc_id", route.alias("route"))
+    """R-14, R-16, R-18: intent, sources and legal topic of a question."""
+    from factloom.functions import routing as Q
+
+    q = F.element_at(F.array(*(F.lit(x[0]) for x in ASKED)), (F.col("event_id") % len(ASKED) + 1).cast("int"))
+    rows = t("events").select("event_id", q.alias("q"))
+    return rows.select("event_id", Q.task_intent(F.col("q")).alias("intent"), Q.route(F.col("q")).alias("route"), Q.law_topic(F.col("q"))["topic"].alias("topic"))
 
 
 @query(
@@ -121,23 +134,39 @@ def r17_hint_harvest(t):
     return words.where((F.length("word") >= 3) & ~F.col("word").isin("brand", "small", "large")).distinct()
 
 
+LIMIT_TERMS, LIMIT_VALUE = ["비율", "비중", "한도", "담보", "이내", "초과", "100분"], r"\d+(?:\.\d+)?\s*%|\d+\s*분의\s*\d+|\d[\d,]*\s*만\s*원"
+STATED = "coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN chr(10) || '담보 한도는 ' || (doc_id % 90) || '% 이내입니다. 다만 예외가 있습니다.' WHEN 1 THEN chr(10) || '한도는 없습니다.' ELSE '' END"
+
+
 @query(
-    """WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '[.\\n]')) AS s FROM documents), f AS (SELECT doc_id, count(*) FILTER (contains(lower(s), 'the') AND regexp_matches(s, 'tion')) AS n, count(DISTINCT s) FILTER (contains(lower(s), 'the') AND regexp_matches(s, 'tion')) AS d FROM s GROUP BY ALL)
-SELECT doc_id, CASE WHEN n = 0 THEN 'MISSING' WHEN d > 1 THEN 'CONFLICT' ELSE 'FOUND' END AS status, least(n, 3) AS n_kept FROM f"""
+    rf"""WITH d AS (SELECT doc_id, {STATED} AS x FROM documents), p AS (SELECT doc_id, x, unnest(regexp_extract_all(x, '[^\n.!?]+[.!?]?|[\n.!?]')) AS p, generate_subscripts(regexp_extract_all(x, '[^\n.!?]+[.!?]?|[\n.!?]'), 1) AS i FROM d),
+ s AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM p),
+ w AS (SELECT doc_id, i, regexp_replace(substr(x, CAST(greatest(pos - 80, 0) + 1 AS BIGINT), CAST(pos + length(p) + 140 - greatest(pos - 80, 0) AS BIGINT)), '^\s+|\s+$', '', 'g') AS w FROM s WHERE p NOT IN (chr(10), '.', '!', '?')),
+ f AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM w WHERE regexp_matches(w, '비율|비중|한도|담보|이내|초과|100분') AND regexp_matches(w, '[0-9]+(?:\.[0-9]+)?\s*%|[0-9]+\s*분의\s*[0-9]+|[0-9][0-9,]*\s*만\s*원')),
+ g AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS n_chars FROM f WHERE k <= 3 GROUP BY ALL)
+SELECT doc_id, CASE WHEN n > 0 THEN 'FOUND' ELSE 'MISSING' END AS status, CAST(coalesce(n, 0) AS BIGINT) AS n_kept, CAST(coalesce(g.n_chars, 0) AS BIGINT) AS n_chars FROM documents LEFT JOIN g USING (doc_id)"""
 )
 def r20_slots(t):
-    """R-20, R-13: sentences that fill a slot, at most three; several different ones conflict."""
-    hits = F.filter(F.split("text", "[.\n]"), lambda s: F.contains(F.lower(s), F.lit("the")) & s.rlike("tion"))
-    own = t("documents").select("doc_id", hits.alias("h"))
-    status = F.when(F.size("h") == 0, "MISSING").when(F.size(F.array_distinct("h")) > 1, "CONFLICT").otherwise("FOUND")
-    return own.select("doc_id", status.alias("status"), F.least(F.size("h"), F.lit(3)).cast("long").alias("n_kept"))
+    """R-20: the sentences, with what stands around them, that fill the slot of a limit; at most three."""
+    from factloom.functions import routing as Q
+
+    rows = t("documents").select("doc_id", F.expr(STATED.replace("chr(10)", "'\\n'")).alias("x"))
+    found = rows.select("doc_id", Q.slot(F.col("x"), LIMIT_TERMS, LIMIT_VALUE).alias("w"))
+    chars = F.aggregate("w", F.lit(0).cast("long"), lambda n, w: n + F.length(w))
+    return found.select("doc_id", F.when(F.size("w") > 0, "FOUND").otherwise("MISSING").alias("status"), F.size("w").cast("long").alias("n_kept"), chars.alias("n_chars"))
+
+
+CODED = "'머리' || chr(10) || '0' || (1 + event_id % 5) || '. 소규모 펀드 | 잔고 ' || event_id || '억 미만' || chr(10) || '12. 디폴트옵션 전용 | 이전할 수 없음' || chr(10) || '99. 기타 | 그 밖의 소규모 사유' || chr(10) || '12. 디폴트옵션 전용 | 다시'"
+ASKS = "CASE event_id % 3 WHEN 0 THEN '소규모 펀드 실물이전 불가사유 코드' WHEN 1 THEN '실물이전 불가사유 코드' ELSE '수익률은?' END"
 
 
 @query(
-    """WITH r AS (SELECT page_id, unnest(regexp_extract_all(url, '([0-9]+)', 1)) AS code FROM pages) SELECT page_id, code FROM (SELECT DISTINCT page_id, code FROM r WHERE code <> '99') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY CAST(code AS BIGINT), code) <= 5"""
+    """SELECT event_id, CASE event_id % 3 WHEN 2 THEN '' ELSE '0' || (1 + event_id % 5) || ':소규모 펀드:잔고 ' || event_id || '억 미만' || CASE event_id % 3 WHEN 1 THEN ';12:디폴트옵션 전용:이전할 수 없음' ELSE '' END END AS rows FROM events"""
 )
 def r21_code_rows(t):
-    """R-21: coded rows without the catch-all, the first five by code."""
-    codes = F.array_distinct(F.filter(F.regexp_extract_all("url", F.lit("([0-9]+)"), 1), lambda c: c != "99"))
-    first = F.slice(F.array_sort(F.transform(codes, lambda c: F.struct(c.cast("long").alias("n"), c.alias("code")))), 1, 5)
-    return t("pages").select("page_id", F.explode(first).alias("x")).select("page_id", "x.code")
+    """R-21: coded rows that a question's conditions meet, without the catch-all, each code and reason once, the first five by code."""
+    from factloom.functions import routing as Q
+
+    rows = t("events").select("event_id", F.expr(CODED.replace("chr(10)", "'\\n'")).alias("text"), F.expr(ASKS).alias("q"))
+    found = Q.reject_rows(F.col("q"), F.col("text"))
+    return rows.select("event_id", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["code"], x["reason"], x["detail"])), ";").alias("rows"))

@@ -83,17 +83,18 @@ def c08_recomputed(t):
 
 
 STATEMENTS = "CASE event_id % 5 WHEN 0 THEN 'IRP 가입 가능' WHEN 1 THEN 'IRP 가입 불가' WHEN 2 THEN '퇴직연금 클래스' WHEN 3 THEN 'IRP 전용. 하지만 IRP 가입 불가' ELSE '개인형 퇴직연금 가입 대상' END"
+TYPES = "CASE event_id % 7 WHEN 0 THEN 'DB형 가입자 전용' WHEN 1 THEN '개인형 퇴직연금' WHEN 2 THEN '개인퇴직계좌' WHEN 3 THEN 'C-P2e' END"
 
 
 @query(
     f"""WITH e AS (SELECT event_id, event_type = 'signup' AS coded, {STATEMENTS} AS s FROM events),
- v AS (SELECT event_id, coded OR event_id % 5 IN (0, 3, 4) AS yes, event_id % 5 IN (1, 3) AS no FROM e)
+ v AS (SELECT event_id, coded OR event_id % 5 IN (0, 3, 4) OR event_id % 7 IN (1, 2) AS yes, event_id % 5 IN (1, 3) OR event_id % 7 = 0 AS no FROM e)
 SELECT event_id, CASE WHEN yes AND NOT no THEN 'ELIGIBLE' WHEN no AND NOT yes THEN 'INELIGIBLE' ELSE 'UNRESOLVED' END AS status FROM v"""
 )
 def c10_eligibility(t):
     """C-10, F-02: explicit affirmation or denial; a conflict stays unresolved."""
     codes = F.when(F.col("event_type") == "signup", F.array(F.lit("irp ")))
-    return t("events").select("event_id", rules.eligibility(codes, F.expr(STATEMENTS)).alias("status"))
+    return t("events").select("event_id", rules.eligibility(codes, F.expr(STATEMENTS), types=(F.expr(TYPES),)).alias("status"))
 
 
 @query(

@@ -128,6 +128,7 @@ def e29_alias_map(t):
     return t("events").select("event_id", F.coalesce(F.try_element_at(names, F.col("event_type")), F.upper("event_type")).alias("alias"), F.from_json("props", "k long")["k"].alias("k"))
 
 
+MORE_FACTS = """CASE event_id % 6 WHEN 0 THEN '기준일 2026-09-0' || (1 + event_id % 9) || ' 입니다' WHEN 1 THEN '마감 09:' || (10 + event_id % 50) WHEN 2 THEN '붙임 x' || event_id || '.pdf 참조, 3개월' WHEN 3 THEN '1) 수수료 ' || event_id || '.50%' WHEN 4 THEN '코드 AB-' || event_id || ' 는 7영업일' ELSE '없음' END"""
 FACTS = "CASE event_id % 4 WHEN 0 THEN '수익률은 ' || event_id || '% 입니다' WHEN 1 THEN '한도는 ' || event_id || '만원 입니다' WHEN 2 THEN '100분의 ' || (event_id % 90) || ' 적용' ELSE '금액 ' || event_id || '0000원' END"
 
 
@@ -137,7 +138,16 @@ FACTS = "CASE event_id % 4 WHEN 0 THEN '수익률은 ' || event_id || '% 입니
 def e36_numeric_facts(t):
     """E-32, E-36: numbers with units in one canonical form."""
     fact = F.get(X.numeric_facts(F.expr(FACTS)), 0)
-    return t("events").select("event_id", fact["value"].alias("value"), fact["unit"].alias("unit"))
+    return t("events").select("event_id", fact["value"].cast("decimal(34,6)").alias("value"), fact["unit"].alias("unit"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '2026:9:' || (1 + event_id % 9) || ' date' WHEN 1 THEN '9:' || (10 + event_id % 50) || ' time' WHEN 2 THEN '3 개월' WHEN 3 THEN event_id || '.5 %' WHEN 4 THEN '7 영업일' ELSE '' END AS facts FROM events"""
+)
+def e36_moments_and_codes(t):
+    """E-36: dates and times are facts; file names, list numbers and codes are none."""
+    facts = F.transform(X.numeric_facts(F.expr(MORE_FACTS)), lambda x: F.concat_ws(" ", x["value"], x["unit"]))
+    return t("events").select("event_id", F.array_join(facts, ", ").alias("facts"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 IN (1, 3) THEN 'PASS' ELSE 'REVIEW' END AS verdict FROM events")

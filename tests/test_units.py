@@ -219,3 +219,29 @@ def test_upper_median_and_fingerprint(spark):
     one, other = fingerprint(df, ["k"], ["v"]), fingerprint(df.orderBy(F.desc("v")).unionAll(df), ["k"], ["v"])
     assert sorted(one.collect()) == sorted(other.collect())
     assert fingerprint(df.where("v <> 9"), ["k"], ["v"]).where("k = 'a'").first() != one.where("k = 'a'").first()
+
+
+@pytest.mark.parametrize("label", ["C-P2", "C-P2e", "CP2"])
+def test_a_class_label_is_no_eligibility(spark, label):
+    none = F.lit(None).cast("array<string>")
+    assert one(spark, rules.eligibility(none, F.lit(label), types=(F.lit(label),)))[0] == "UNRESOLVED"
+    assert one(spark, rules.eligibility(none, F.lit("DC형 전용")))[0] == "INELIGIBLE"
+    assert one(spark, rules.eligibility(none, types=(F.lit("개인형 퇴직연금"),)))[0] == "ELIGIBLE"
+    assert one(spark, rules.eligibility(none, F.lit("DB형 전용"), types=(F.lit("IRP"),)))[0] == "UNRESOLVED"
+
+
+@pytest.mark.parametrize("answer, evidence, ok", [("50%", "50원", False), ("09:20", "09:30", False), ("09:20", "9:20 시작", True), ("2026-09-06", "기준일 2026.9.6", True), ("보고서3.pdf", "", True), ("AB-12", "", True), ("1. 보수", "", True)])
+def test_moments_files_and_codes(spark, answer, evidence, ok):
+    assert (len(one(spark, text.unsupported_facts(F.lit(answer), F.lit(evidence)))[0]) == 0) is ok
+
+
+def test_routing_of_nulls_and_named_products(spark):
+    from factloom.functions import routing as Q
+
+    null = F.lit(None).cast("string")
+    assert tuple(one(spark, Q.task_intent(null))) == ("general",) and one(spark, Q.route(null))[0] == "document" and one(spark, Q.law_topic(null))[0] is None
+    q = F.lit("알파성장주 벤치마크가 코스피가 맞나요")
+    assert one(spark, Q.route(q))[0] == "document" and one(spark, Q.route(q, F.lit(True)))[0] == "product"
+    df = spark.createDataFrame([(None,), ("",), ("A b. C!\nD",)], "x string")
+    assert [r[0] for r in df.select(Q.slot(F.col("x"), [])).collect()] == [[], [], ["A b. C!\nD"] * 3]
+    assert [r[0] for r in df.select(Q.reject_rows(F.lit("실물이전 코드"), F.col("x"))).collect()] == [[], [], []]
