@@ -91,7 +91,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges. Edges with a null end and loops are dropped.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = stored(e, "edges"), None
+    e = stored(e, "edges")
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
@@ -101,10 +101,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = stored(small.where("u <> v").distinct(), "edges")
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
+        # settled: every node has one edge, to a node that has none to a smaller one
+        state = e.select("u").unionByName(e.select(F.col("v").alias("u")).distinct()).groupBy("u").count().where("count > 1")
+        if state.isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        before = state
     raise RuntimeError("connected components did not settle")

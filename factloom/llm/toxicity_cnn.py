@@ -228,8 +228,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches):
         m = held.value
         for batch in batches:
-            scores = np.fromiter((m.score(x.as_py()) for x in batch.column(place)), np.float64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(scores)], schema=pa.schema([*batch.schema, pa.field("score", pa.float64())]))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                scores = np.fromiter((m.score(x.as_py()) for x in part.column(place)), np.float64, part.num_rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns)), pa.array(scores)], schema=pa.schema([*part.schema, pa.field("score", pa.float64())]))
 
     return appended(frame, run, "score double")
 
