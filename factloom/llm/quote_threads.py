@@ -86,20 +86,20 @@ def reply_links(messages: DataFrame) -> DataFrame:
 
 def chased(links: DataFrame) -> DataFrame:
     """``conv_id, turn, root, depth, path``: the end of each message's chain of ``up`` links, with depths added and paths joined from the root on."""
-    jump = stored(links.select("conv_id", "turn", F.col("up").alias("root"), F.col("depth").cast("long").alias("depth"), "path"), "jump")
-    while True:
-        above = jump.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"), F.col("path").alias("before"))
-        further = jump.join(above, ["conv_id", "root"], "left")
+    moving = stored(links.select("conv_id", "turn", F.col("up").alias("root"), F.col("depth").cast("long").alias("depth"), "path", F.lit(False).alias("done")), "jump")
+    ended = moving.where("done")
+    while not moving.isEmpty():  # a message leaves the rounds when its chain has ended, so only long chains take many
+        known = moving.unionByName(ended)
+        above = known.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"), F.col("path").alias("before"), F.col("done").alias("over"))
         again = stored(
-            further.select(
+            moving.join(above, ["conv_id", "root"], "left").select(
                 "conv_id", "turn", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                F.concat(F.coalesce("before", F.lit("")), "path").alias("path"), F.col("up").isNotNull().alias("moved"),
+                F.concat(F.coalesce("before", F.lit("")), "path").alias("path"), F.coalesce("over", F.lit(True)).alias("done"),
             ),
             "jump",
         )
-        jump = again.drop("moved")
-        if again.where("moved").isEmpty():
-            return jump
+        ended, moving = ended.unionByName(again.where("done")), again.where("not done")
+    return ended.drop("done")
 
 
 def threads(parents: DataFrame) -> DataFrame:
