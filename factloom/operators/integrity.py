@@ -60,3 +60,28 @@ def changed(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFram
         .when(F.col(f"_a.{value}").eqNullSafe(F.col(f"_b.{value}")), "SAME").otherwise("CHANGED")
     )
     return x.join(y, keys, "full_outer").select(*keys, status.alias("change"))
+
+
+def persistence_blockers(docs: DataFrame, risks: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """``doc, blockers``: why a document must not be stored, without repeats and in a fixed order; empty: it may.
+
+    ``docs``: ``doc, hash, expected_hash``. ``risks``: ``doc, i, name, refs`` (ids of chunks). ``chunks``: ``chunk_id, text``. ``facts``: ``doc, field, i, refs, status``. A
+    risk's name must stand, but for marks and white space, in the chunks that it refers to; every fact needs a reference, and none may have failed its check.
+    """
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^가-힣A-Za-z0-9]", "")
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    each = risks.select("doc", "i", F.posexplode("refs").alias("at", "chunk_id")).join(chunks, "chunk_id")
+    said = each.groupBy("doc", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "").alias("said"))
+    r = risks.join(said, ["doc", "i"], "left")
+    label = lambda text: F.concat(F.lit(f"{text}["), F.col("i").cast("string"), F.lit("]"))
+    name = F.coalesce("name", F.lit(""))
+    unanchored = none(F.col("refs")) | (bare(name) == "") | ~F.contains(bare(F.col("said")), bare(name))
+    marks = F.array_compact(F.array(F.when(F.trim(name) == "", label("RISK_NAME_EMPTY")), F.when(name.rlike("[\n\r\t]"), label("RISK_NAME_LAYOUT_WHITESPACE")), F.when(unanchored, label("RISK_NAME_NOT_SOURCE_ANCHORED"))))
+    found = r.select("doc", F.explode(marks).alias("b"))
+    path = F.concat("field", F.lit("["), F.col("i").cast("string"), F.lit("]"))
+    failed = F.when(F.coalesce(F.col("status") == "FAIL", F.lit(False)), F.concat(F.lit("EVIDENCE_FAIL:"), path))
+    bare_fact = F.when(none(F.col("refs")), F.concat(F.lit("FACT_MISSING_EVIDENCE:"), path))
+    found = found.unionByName(facts.select("doc", F.explode(F.array_compact(F.array(failed, bare_fact))).alias("b")))
+    changed = docs.where(~F.col("hash").eqNullSafe(F.col("expected_hash"))).select("doc", F.lit("DOCUMENT_HASH_MISMATCH").alias("b"))
+    all_ = found.unionByName(changed).groupBy("doc").agg(F.array_sort(F.collect_set("b")).alias("blockers"))
+    return docs.select("doc").join(all_, "doc", "left").select("doc", F.coalesce("blockers", F.array().cast("array<string>")).alias("blockers"))

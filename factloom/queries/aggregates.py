@@ -60,7 +60,7 @@ def a13_verdict_rollup(t):
 
 @query(f"SELECT k, coalesce(string_agg(DISTINCT c, ',' ORDER BY c) FILTER (status = 'FAIL'), '') AS blockers, count(*) FILTER (status = 'FAIL') = 0 AS passed FROM ({CHECKS}) GROUP BY ALL")
 def f16_persistence_gate(t):
-    """F-16, F-17: the blockers of each key; it passes without any."""
+    """F-16: the blockers of each key; it passes without any."""
     return gate(checks(t), "k", "c", F.col("status") == "FAIL")
 
 

@@ -119,15 +119,25 @@ def f12_allow_list(t):
     return wide.where((scope == "FULL") | ((scope == "PARTIAL") & F.array_contains(allowed, F.col("n_name")))).select("s_suppkey", "n_nationkey")
 
 
+LAW = "CASE doc_id % 3 WHEN 0 THEN '가법' WHEN 1 THEN '가법 시행령' ELSE '나법 시행규칙' END"
+CITES = "'법 제' || (1 + doc_id % 4) || '조제2항 및 제' || (1 + doc_id % 5) || '조, 제3조제1항제' || (1 + doc_id % 3) || '호의2 참조'"
+PROVISIONS = """SELECT law, article, paragraph, item, law || '/' || article || '/' || coalesce(paragraph, '-') || '/' || coalesce(item, '-') AS text FROM
+  (VALUES ('가법'), ('가법 시행령'), ('나법')) l(law), (VALUES ('1', NULL, NULL), ('1', '2', NULL), ('2', NULL, NULL), ('3', NULL, NULL), ('3', '1', NULL), ('3', '1', '1의2'), ('3', '1', '2'), ('3', '2', NULL)) p(article, paragraph, item)"""
+
+
 @query(
-    """WITH refs AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS ref FROM pages)
-SELECT r.page_id, count(*) AS n_refs, count(p.word) AS n_resolved FROM refs r LEFT JOIN (SELECT DISTINCT regexp_extract(html, 'href="/([^"]*)"', 1) AS word FROM pages) p ON p.word = r.ref GROUP BY ALL"""
+    f"""WITH d AS (SELECT doc_id, {LAW} AS law, regexp_replace({LAW}, ' (시행령|시행규칙)$', '') AS parent FROM documents), p AS ({PROVISIONS}),
+ r AS (SELECT doc_id, '법 제' || (1 + doc_id % 4) || '조제2항' AS raw, parent AS law, CAST(1 + doc_id % 4 AS VARCHAR) AS article, '2' AS paragraph, NULL AS item FROM d
+  UNION ALL SELECT doc_id, '제' || (1 + doc_id % 5) || '조', law, CAST(1 + doc_id % 5 AS VARCHAR), NULL, NULL FROM d
+  UNION ALL SELECT doc_id, '제3조제1항제' || (1 + doc_id % 3) || '호의2', law, '3', '1', (1 + doc_id % 3) || '의2' FROM d)
+SELECT r.*, p.text AS target FROM r LEFT JOIN p ON p.law = r.law AND p.article = r.article AND coalesce(p.paragraph, '') = coalesce(r.paragraph, '') AND coalesce(p.item, '') = coalesce(r.item, '')"""
 )
 def j13_cross_references(t):
-    """J-13: references found in text and resolved against what other texts define."""
-    refs = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("ref"))
-    known = t("pages").select(F.regexp_extract("html", 'href="/([^"]*)"', 1).alias("ref")).distinct().withColumn("hit", F.lit(1))
-    return refs.join(known, "ref", "left").groupBy("page_id").agg(F.count("*").alias("n_refs"), F.count("hit").alias("n_resolved"))
+    """J-13: references of a text to articles, paragraphs and items, resolved at the level that they name; those to the parent law leave the decree."""
+    from factloom.operators.legal import resolved
+
+    docs = t("documents").select("doc_id", F.expr(LAW).alias("law"), F.expr(CITES).alias("text"))
+    return resolved(docs, docs.sparkSession.sql(PROVISIONS), ["doc_id"], "law", "text")
 
 
 @query(
@@ -195,3 +205,26 @@ def s11_upsert(t):
     old, new = t("events").where("event_id % 2 = 0"), t("events").where("event_id % 3 = 0")
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return old.unionByName(new).withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "event_id", "ts")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, (string_split(coalesce(text, ''), ' '))[1] || ' ' || coalesce((string_split(coalesce(text, ''), ' '))[2], '') AS name FROM documents), bare AS (SELECT doc_id, regexp_replace(text, '[^가-힣A-Za-z0-9]', '', 'g') AS s, regexp_replace(name, '[^가-힣A-Za-z0-9]', '', 'g') AS n, name FROM d),
+ b AS (SELECT doc_id, 'DOCUMENT_HASH_MISMATCH' AS b FROM d WHERE doc_id % 7 = 0 UNION SELECT doc_id, 'EVIDENCE_FAIL:performance[0]' FROM d WHERE doc_id % 11 = 0 UNION SELECT doc_id, 'FACT_MISSING_EVIDENCE:fees[0]' FROM d WHERE doc_id % 13 = 0
+  UNION SELECT doc_id, 'RISK_NAME_EMPTY[0]' FROM d WHERE trim(name) = '' UNION SELECT doc_id, 'RISK_NAME_LAYOUT_WHITESPACE[0]' FROM d WHERE regexp_matches(name, '[\n\r\t]')
+  UNION SELECT a.doc_id, 'RISK_NAME_NOT_SOURCE_ANCHORED[0]' FROM bare a LEFT JOIN bare c ON c.doc_id = a.doc_id + (CASE WHEN a.doc_id % 5 = 0 THEN 1 ELSE 0 END) WHERE a.doc_id % 17 = 0 OR a.n = '' OR NOT contains(coalesce(c.s, ''), a.n))
+SELECT d.doc_id AS doc, coalesce(string_agg(b.b, ',' ORDER BY b.b), '') AS blockers FROM d LEFT JOIN b USING (doc_id) GROUP BY ALL"""
+)
+def f17_quality_gate(t):
+    """F-17: hashes, names of risks in the chunks that they refer to, failed checks and facts without evidence."""
+    from factloom.operators.integrity import persistence_blockers
+
+    d = t("documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    words = F.split("text", " ", -1)
+    refs = F.when(F.col("doc") % 17 == 0, F.array().cast("array<long>")).otherwise(F.array(F.col("doc") + F.when(F.col("doc") % 5 == 0, 1).otherwise(0)))
+    risks = d.select("doc", F.lit(0).alias("i"), F.concat(F.get(words, 0), F.lit(" "), F.coalesce(F.get(words, 1), F.lit(""))).alias("name"), refs.alias("refs"))
+    hashes = d.select("doc", F.sha2("text", 256).alias("hash"), F.when(F.col("doc") % 7 == 0, "other").otherwise(F.sha2("text", 256)).alias("expected_hash"))
+    some = F.when(F.col("doc") % 13 != 0, F.array("doc"))
+    facts = d.select("doc", F.lit("fees").alias("field"), F.lit(0).alias("i"), some.alias("refs"), F.lit("PASS").alias("status"))
+    facts = facts.unionByName(d.select("doc", F.lit("performance").alias("field"), F.lit(0).alias("i"), F.array("doc").alias("refs"), F.when(F.col("doc") % 11 == 0, "FAIL").alias("status")))
+    out = persistence_blockers(hashes, risks, d.select(F.col("doc").alias("chunk_id"), "text"), facts)
+    return out.select("doc", F.concat_ws(",", "blockers").alias("blockers"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.functions import classes as C
 from factloom.functions import text as X
 from factloom.queries.base import query
 
@@ -104,15 +105,38 @@ def e15_ids(t):
     return t("pages").select("page_id", X.safe_id(F.col("url")).alias("id"), h.alias("digest"), F.substring(h, 1, 20).alias("short"))
 
 
+CLASS_NAMES = "CASE event_id % 5 WHEN 0 THEN '종류A(수수료선취-오프라인)' WHEN 1 THEN '종류C-P2e(수수료미징구-온라인-퇴직연금)' WHEN 2 THEN '종류S-P(수수료후취-온라인-연금저축)' WHEN 3 THEN '종류C-P(개인연금)' ELSE '종류F' END"
+RATE_WORDS = "CASE event_id % 6 WHEN 0 THEN '납입금액의 1.0% 이 내' WHEN 1 THEN '최소 0.1%' WHEN 2 THEN '최대' WHEN 3 THEN '정액' WHEN 4 THEN '' END"
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'FRONT_END' WHEN 1 THEN 'NONE' WHEN 2 THEN 'BACK_END' END AS charge, CASE event_id % 5 WHEN 0 THEN 'OFFLINE' WHEN 1 THEN 'ONLINE' WHEN 2 THEN 'ONLINE' END AS channel,
+  CASE event_id % 5 WHEN 1 THEN 'RETIREMENT_PENSION' WHEN 2 THEN 'PERSONAL_PENSION' WHEN 3 THEN 'PERSONAL_PENSION' END AS pension, CASE event_id % 5 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true END AS online FROM events"""
+)
+def e22_class_attributes(t):
+    """E-22: charge, channel, pension type and online sale that a class name states."""
+    return t("events").select("event_id", C.class_attributes(F.expr(CLASS_NAMES)).alias("a")).select("event_id", "a.*")
+
+
 @query(
-    """SELECT p_partkey, CASE WHEN p_size > 40 AND p_size % 2 = 0 THEN 'MAX' WHEN p_size < 10 THEN 'MIN' WHEN p_size % 5 = 0 THEN 'EXACT' ELSE 'UNKNOWN' END AS condition, CASE WHEN p_size > 40 AND p_size % 2 = 0 THEN p_size END AS rate_max, CASE WHEN p_size < 10 THEN p_size END AS rate_min FROM part"""
+    """WITH c AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'MAX' WHEN 1 THEN 'MIN' WHEN 2 THEN 'MAX' WHEN 3 THEN 'EXACT' ELSE 'UNKNOWN' END AS condition FROM events)
+SELECT event_id, condition, CASE WHEN condition IN ('EXACT', 'UNKNOWN') THEN event_id END AS rate, CASE condition WHEN 'MAX' THEN event_id END AS rate_max, CASE condition WHEN 'MIN' THEN event_id END AS rate_min FROM c"""
 )
 def e23_rate_condition(t):
-    """E-22, E-23: a class decides which column a rate goes to."""
-    s = F.col("p_size")
-    c = F.when((s > 40) & (s % 2 == 0), "MAX").when(s < 10, "MIN").when(s % 5 == 0, "EXACT").otherwise("UNKNOWN")
-    out = t("part").select("p_partkey", "p_size", c.alias("condition"))
-    return out.select("p_partkey", "condition", F.when(F.col("condition") == "MAX", F.col("p_size")).alias("rate_max"), F.when(F.col("condition") == "MIN", F.col("p_size")).alias("rate_min"))
+    """E-23: the words of a condition decide which column a rate goes to."""
+    words = F.expr(RATE_WORDS)
+    return t("events").select("event_id", C.rate_condition(words).alias("condition"), C.routed_rate(words, F.col("event_id")).alias("r")).select("event_id", "condition", "r.*")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'stated' WHEN 1 THEN 'benchmark_return' WHEN 2 THEN 'volatility' WHEN 3 THEN 'fund_return' WHEN 4 THEN 'benchmark_return' END AS metric FROM events"""
+)
+def e30_metric_type(t):
+    """E-30: the type of a figure, stated or implied by its subject, kind or class."""
+    k = F.col("event_id") % 6
+    subject = F.when(k == 1, "비교지수(%)").when(k == 2, "수익률 변동성")
+    out = C.metric_type(F.when(k == 0, "stated"), subject, F.when(k == 4, "benchmark"), F.when(k == 3, "종류A"))
+    return t("events").select("event_id", out.alias("metric"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_name LIKE '%red%' THEN true WHEN p_name LIKE '%blue%' THEN false END AS tag FROM part")
@@ -123,7 +147,7 @@ def e27_tri_state(t):
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'CLK' WHEN 'view' THEN 'VIW' ELSE upper(event_type) END AS alias, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def e29_alias_map(t):
-    """E-29, E-30, E-52: aliases by a map; JSON fields by schema."""
+    """E-29, E-52: aliases by a map; JSON fields by schema."""
     names = F.create_map(F.lit("click"), F.lit("CLK"), F.lit("view"), F.lit("VIW"))
     return t("events").select("event_id", F.coalesce(F.try_element_at(names, F.col("event_type")), F.upper("event_type")).alias("alias"), F.from_json("props", "k long")["k"].alias("k"))
 
@@ -136,7 +160,7 @@ FACTS = "CASE event_id % 4 WHEN 0 THEN '수익률은 ' || event_id || '% 입니
     """SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id * 10000 WHEN 2 THEN event_id % 90 ELSE event_id * 10000 END AS DECIMAL(34,6)) AS value, CASE event_id % 4 WHEN 0 THEN '%' WHEN 1 THEN '원' WHEN 2 THEN '%' ELSE '원' END AS unit FROM events"""
 )
 def e36_numeric_facts(t):
-    """E-32, E-36: numbers with units in one canonical form."""
+    """E-36: numbers with units in one canonical form."""
     fact = F.get(X.numeric_facts(F.expr(FACTS)), 0)
     return t("events").select("event_id", fact["value"].cast("decimal(34,6)").alias("value"), fact["unit"].alias("unit"))
 
@@ -169,7 +193,7 @@ def e39_redaction_needed(t):
 
 @query("SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS head, split_part(o_orderpriority, '-', -1) AS tail FROM orders")
 def e44_split(t):
-    """E-44, E-45: a label split at its last mark."""
+    """E-44: a label split at its last mark."""
     return t("orders").select("o_orderkey", F.substring_index("o_orderpriority", "-", 1).alias("head"), F.substring_index("o_orderpriority", "-", -1).alias("tail"))
 
 
