@@ -27,12 +27,17 @@ def fingerprint(df: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
     The digest is the number of distinct facts and two sums of 56-bit parts of their MD5, so it is combined before the shuffle and no
     group is gathered, whatever its size.
     """
-    line = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in facts]).cast("binary"))
+    line = F.md5(F.concat(*[_field(F.col(c).cast("string")) for c in facts]).cast("binary"))
     part = lambda start: F.sum(F.conv(F.substring("_f", start, 14), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
     distinct = df.select(*keys, line.alias("_f")).distinct()
     return distinct.groupBy(*keys).agg(F.concat_ws(":", F.count("*").cast("string"), part(1), part(15)).alias("fingerprint"))
 
 
+def _field(c: Column) -> Column:
+    """A text with its length before it, so that fields cannot run into each other; null is not the empty text."""
+    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+
+
 def copies_that_differ(df: DataFrame, digest: str, fact: str) -> DataFrame:
     """Groups of equal digests: their number and how many different facts they carry."""
     return df.groupBy(digest).agg(F.count("*").alias("n"), F.countDistinct(fact).alias("n_facts")).where("n > 1")

@@ -104,7 +104,7 @@ def a19_failure_tally(t):
     """SELECT field, CASE WHEN v IS NULL THEN 'NOT_FOUND' WHEN v = '' THEN 'EMPTY' ELSE 'FOUND' END AS status, count(*) AS n FROM (SELECT unnest(['text', 'lang', 'source']) AS field, unnest([text, lang, nullif(source, 'src0')]) AS v FROM documents) GROUP BY ALL"""
 )
 def a20_field_status_audit(t):
-    """A-20, A-21, X-31: how often each field was found."""
+    """A-20: how often each field was found."""
     pairs = F.explode(F.map_from_arrays(F.array(F.lit("text"), F.lit("lang"), F.lit("source")), F.array("text", "lang", F.nullif(F.col("source"), F.lit("src0"))))).alias("field", "v")
     status = F.when(F.col("v").isNull(), "NOT_FOUND").when(F.col("v") == "", "EMPTY").otherwise("FOUND")
     return t("documents").select(pairs).groupBy("field", status.alias("status")).agg(F.count("*").alias("n"))
@@ -178,7 +178,7 @@ def a29_confidence_score(t):
 SELECT o_custkey, m AS start_month, CAST(pair AS BIGINT) AS n FROM w QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY pair DESC, m) = 1"""
 )
 def a30_richest_window(t):
-    """A-30, W-14: the two-month window with the most rows, the earliest on ties."""
+    """A-30: the two-month window with the most rows, the earliest on ties."""
     month = ((F.year("o_orderdate") - 1990) * 12 + F.month("o_orderdate") - 1).cast("int")
     c = t("orders").groupBy("o_custkey", month.alias("m")).agg(F.count("*").alias("n"))
     both = c.withColumn("both", F.sum("n").over(Window.partitionBy("o_custkey").orderBy("m").rangeBetween(0, 1)))

@@ -241,7 +241,7 @@ def a26_fee_dedup(t):
     """SELECT p_partkey, p_brand, CASE WHEN n > 1 THEN p_brand || '__' || n ELSE p_brand END AS class_key FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)"""
 )
 def w12_key_suffix(t):
-    """W-12, X-34: the second and later uses of a key get a number."""
+    """W-12: the second and later uses of a key get a number."""
     n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     rows = t("part").select("p_partkey", "p_brand", n.alias("n"))
     return rows.select("p_partkey", "p_brand", F.when(F.col("n") > 1, F.concat_ws("__", "p_brand", F.col("n").cast("string"))).otherwise(F.col("p_brand")).alias("class_key"))

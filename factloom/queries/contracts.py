@@ -209,7 +209,7 @@ def e51_article_labels(t):
     r"""SELECT page_id, coalesce(nullif(regexp_extract(html, '<h1>([^<]{3,60})</h1>', 1), ''), nullif(regexp_extract(html, '<title>([^<]{3,60})</title>', 1), ''), url) AS name, regexp_extract(html, 'lang="([a-z]{2})"', 1) AS lang, TRY_CAST(regexp_extract(html, '<!-- ad (\d+) -->', 1) AS INTEGER) AS code FROM pages"""
 )
 def e54_metadata_tiers(t):
-    """E-53, E-54, E-41: a field from the first tier that has it."""
+    """E-54: a field from the first tier that has it."""
     tier = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
     name = F.coalesce(tier("<h1>([^<]{3,60})</h1>"), tier("<title>([^<]{3,60})</title>"), F.col("url"))
     return t("pages").select("page_id", name.alias("name"), F.regexp_extract("html", 'lang="([a-z]{2})"', 1).alias("lang"), F.regexp_extract("html", r"<!-- ad (\d+) -->", 1).try_cast("int").alias("code"))

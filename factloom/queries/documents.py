@@ -80,7 +80,7 @@ def x09_fallback_cascade(t):
  CASE WHEN bool_or(event_type = 'click') AND bool_or(event_type = 'purchase') THEN 'success' WHEN bool_or(event_type = 'click') OR bool_or(event_type = 'purchase') THEN 'warning' ELSE 'failed' END AS status FROM events GROUP BY ALL"""
 )
 def x28_reconciliation(t):
-    """X-22, X-28, X-23: which fields a document has, and its final status."""
+    """X-28, X-23: which fields a document has, and its final status."""
     e = t("events").select("user_id", F.when(F.col("event_type") == "click", 1).alias("clicked"), F.when(F.col("event_type") == "purchase", 1).alias("bought"))
     return X.presence(e, "user_id", ["clicked", "bought"])
 

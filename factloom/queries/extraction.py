@@ -20,7 +20,7 @@ def lines(t):
     rf"""SELECT doc_id, i, len(c) AS n_cells, c[1] AS first_cell, len(list_filter(c, lambda x: regexp_matches(x, '^[A-ZÀ-Þ]'))) AS n_heads FROM (SELECT doc_id, i, string_split(line, ' | ') AS c FROM {LINES}) WHERE len(c) >= 3"""
 )
 def x04_cell_rows(t):
-    """X-04, X-05, X-06: lines that are rows of a table, and their cells."""
+    """X-04: lines that are rows of a table, and their cells."""
     cells = F.split("line", r" \| ", -1)
     rows = lines(t).select("doc_id", F.col("i").cast("long").alias("i"), cells.alias("c")).where(F.size("c") >= 3)
     return rows.select("doc_id", "i", F.size("c").cast("long").alias("n_cells"), F.get("c", 0).alias("first_cell"), F.size(F.filter("c", lambda x: x.rlike("^[A-ZÀ-Þ]"))).cast("long").alias("n_heads"))
@@ -53,7 +53,7 @@ def x14_best_narrative(t):
     rf"""SELECT doc_id, i, n_words, kind FROM (SELECT doc_id, i, len(regexp_extract_all(line, '\S+')) AS n_words, CASE WHEN contains(line, ' | ') THEN 'table' WHEN regexp_matches(line, '!!') THEN 'shouted' WHEN regexp_matches(line, '[%*#&$]{{3}}') THEN 'symbols' WHEN len(regexp_extract_all(line, '\S+')) < 4 THEN 'heading' ELSE 'prose' END AS kind FROM {LINES} WHERE trim(line) <> '')"""
 )
 def x16_structure_kinds(t):
-    """X-15, X-16: blocks of a text and their kinds."""
+    """X-16: blocks of a text and their kinds."""
     n, words = F.col("line"), F.size(F.regexp_extract_all("line", F.lit(r"(\S+)"), 1))
     kind = F.when(n.contains(" | "), "table").when(n.rlike("!!"), "shouted").when(n.rlike("[%*#&$]{3}"), "symbols").when(words < 4, "heading").otherwise("prose")
     return lines(t).where(F.trim("line") != "").select("doc_id", F.col("i").cast("long").alias("i"), words.cast("long").alias("n_words"), kind.alias("kind"))
@@ -83,7 +83,7 @@ def x18_source_choice(t):
 SELECT item_id, round(share, 6) AS share, CASE WHEN share >= 0.75 THEN 'SUPPORTED' WHEN share >= 0.35 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS verdict FROM j"""
 )
 def x27_lexical_verdict(t):
-    """X-26, X-27: the lexical verdict on a narrative by two thresholds."""
+    """X-27: the lexical verdict on a narrative by two thresholds."""
     k = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != ""))
     p = t("benchmark").select("item_id", k.alias("k"))
     other = p.select((F.col("item_id") - 1).alias("item_id"), F.col("k").alias("o"))
@@ -105,7 +105,7 @@ def x30_standard_record(t):
     """SELECT s.s_suppkey AS feeder, m.s_suppkey AS master FROM supplier s JOIN supplier m ON m.s_name = 'Supplier#' || lpad(CAST(s.s_suppkey // 10 AS VARCHAR), 9, '0') WHERE s.s_suppkey <> m.s_suppkey"""
 )
 def x32_master_feeder(t):
-    """X-32, J-20: relations by a name that another record states."""
+    """X-32: relations by a name that another record states."""
     named = t("supplier").select(F.col("s_suppkey").alias("feeder"), F.concat(F.lit("Supplier#"), F.lpad(F.floor(F.col("s_suppkey") / 10).cast("string"), 9, "0")).alias("s_name"))
     return named.join(t("supplier").select("s_name", F.col("s_suppkey").alias("master")), "s_name").where("feeder <> master").select("feeder", "master")
 
@@ -206,7 +206,7 @@ def u05_contexts_united(t):
 SELECT * FROM (SELECT * FROM f UNION ALL SELECT * FROM p) WHERE value IS NOT NULL AND NOT (kind = 'fee' AND value >= 0.08)"""
 )
 def x11_table_facts(t):
-    """X-11, X-20: fee and performance facts in one shape, then the cleaning rules in their order."""
+    """X-11: fee and performance facts in one shape, then the cleaning rules in their order."""
     from factloom.operators.extraction import melted
 
     fees = t("lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_tax").alias("value"))

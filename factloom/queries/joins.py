@@ -178,7 +178,7 @@ def j17_runs_compared(t):
 
 
 @query(
-    """WITH f AS (SELECT DISTINCT l_suppkey, md5(l_partkey || '|' || l_linenumber || '|' || l_returnflag) AS h FROM lineitem)
+    """WITH f AS (SELECT DISTINCT l_suppkey, md5(length(CAST(l_partkey AS VARCHAR)) || ':' || l_partkey || length(CAST(l_linenumber AS VARCHAR)) || ':' || l_linenumber || length(CAST(l_returnflag AS VARCHAR)) || ':' || l_returnflag) AS h FROM lineitem)
 SELECT l_suppkey, count(*) || ':' || sum(('0x' || substr(h, 1, 14))::BIGINT) || ':' || sum(('0x' || substr(h, 15, 14))::BIGINT) AS fingerprint FROM f GROUP BY ALL"""
 )
 def e18_fact_fingerprint(t):

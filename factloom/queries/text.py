@@ -43,7 +43,7 @@ def e05_nearly_equal(t):
 
 @query(r"SELECT event_id, regexp_replace(printf('%.4f', value), '\.?0+$', '') AS shown, regexp_replace(printf('%.6f', value / 8), '\.?0+$', '') AS shown6 FROM events")
 def e06_number_format(t):
-    """E-06, E-37: numbers without zeros at the end."""
+    """E-06: numbers without zeros at the end."""
     return t("events").select("event_id", X.trimmed_number(F.col("value"), 4).alias("shown"), X.trimmed_number(F.col("value") / 8, 6).alias("shown6"))
 
 
@@ -84,7 +84,7 @@ def e10_token_overlap(t):
 SELECT item_id, coalesce(contains(regexp_replace(other, '\\s+', '', 'g'), regexp_replace(claim, '\\s+', '', 'g')) OR len(list_intersect(list_distinct(c), o)) >= 0.85 * len(list_distinct(c)), false) AS by_other, true AS by_own FROM k"""
 )
 def e11_support(t):
-    """E-11, X-26: a claim supported by a source."""
+    """E-11: a claim supported by a source."""
     b = t("benchmark").select("item_id", "text", F.col("text").alias("claim"))
     after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
     return b.join(after, "item_id", "left").select("item_id", X.supported(F.col("claim"), F.col("other")).alias("by_other"), X.supported(F.col("claim"), F.col("text")).alias("by_own"))
