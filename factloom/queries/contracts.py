@@ -295,7 +295,7 @@ def f13_required_values(t):
 
 
 @query(
-    r"""SELECT page_id, 'p' || lpad(CAST(page_id AS VARCHAR), 3, '0') || '_b' || lpad(CAST(i AS VARCHAR), 4, '0') AS block_id, length(blocks[i]) AS n FROM (SELECT page_id, [x for x in regexp_extract_all(html, '<p>([^<]+)</p>', 1) if trim(x) <> ''] AS blocks FROM pages), unnest(range(1, len(blocks) + 1)) r(i)"""
+    r"""SELECT page_id, printf('p%03d_b%04d', page_id, i) AS block_id, length(blocks[i]) AS n FROM (SELECT page_id, [x for x in regexp_extract_all(html, '<p>([^<]+)</p>', 1) if trim(x) <> ''] AS blocks FROM pages), unnest(range(1, len(blocks) + 1)) r(i)"""
 )
 def s08_layout_blocks(t):
     """S-07, S-08: a page's blocks in order with their ids; blank ones are dropped."""

@@ -9,12 +9,12 @@ from factloom.operators.temporal import live_entries, sessions
 from factloom.queries.base import query
 
 
-@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS seq, source || '_' || lang || '_' || lpad(CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS VARCHAR), 3, '0') AS chunk_id FROM documents")
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS seq, source || '_' || lang || '_' || printf('%03d', row_number() OVER (PARTITION BY source, lang ORDER BY doc_id)) AS chunk_id FROM documents")
 def w07_sequence_numbers(t):
     """W-07, S-08: ids from a running number in each group."""
     seq = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))
     rows = t("documents").select("doc_id", "source", "lang", seq.cast("long").alias("seq"))
-    return rows.select("doc_id", "source", "seq", F.concat_ws("_", "source", "lang", F.when(F.col("seq") > 999, F.substring(F.col("seq").cast("string"), 1, 3)).otherwise(F.lpad(F.col("seq").cast("string"), 3, "0"))).alias("chunk_id"))
+    return rows.select("doc_id", "source", "seq", F.concat_ws("_", "source", "lang", F.format_string("%03d", "seq")).alias("chunk_id"))
 
 
 @query(
