@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from hashlib import blake2b
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,40 +102,155 @@ def _grams(word: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substr(word, i, F.lit(n)))
 
 
+def _split(text: Column, grams) -> Column:
+    """The words that a text's grams are made of."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_extract_all(low, F.lit(r"((?U)\b\w+\b)"), 1) if grams is word_grams else F.filter(F.split(low, r"\s+"), lambda x: x != "")
+
+
+#: Odd multipliers, one for each place in a gram.
+PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(1 << 17)
+def _number(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def numbers(words: list[str], grams) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct grams of a text as 64-bit numbers, how often each occurs): the grams of ``word_grams`` or ``char_grams`` without their strings."""
+    if grams is word_grams:
+        own = np.fromiter(map(_number, words), np.uint64, len(words))
+        found = [own, _mixed(own[:-1] * PLACES[0] + own[1:])]
+    else:
+        each = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        word = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words]) if words else np.zeros(0, np.int64)
+        found = []
+        for n in range(2, 6):
+            within = word[: len(word) - n + 1] == word[n - 1 :]  # a gram stays in its word
+            code = np.full(max(0, len(each) - n + 1), n, np.uint64)
+            for k in range(n):
+                code += each[k : len(each) - n + 1 + k] * PLACES[k]
+            found.append(_mixed(code[within] if len(code) else code))
+    return np.unique(np.concatenate(found).view(np.int64), return_counts=True)
+
+
 @dataclass
 class Index:
-    """tf-idf vectors of a corpus: ``postings`` (doc_id, g, tf), ``idf`` (g, idf), ``norms`` (doc_id, norm); made once and kept."""
+    """tf-idf of a corpus: ``texts`` (doc_id, words), ``idf`` (g, idf) and ``norms`` (doc_id, norm), the last two made once and kept. A gram ``g`` is a 64-bit number."""
 
-    postings: DataFrame
+    texts: DataFrame
     idf: DataFrame
     norms: DataFrame
     grams: object
 
 
-def _frequencies(texts: DataFrame, key: str, grams) -> DataFrame:
-    """``key, g, tf``. Hash aggregation combines a text's repeats before the shuffle; sorting and counting inside the row was measured at twice the time."""
-    return texts.select(key, F.explode(grams(F.col("text"))).alias("g")).groupBy(key, "g").agg((1 + F.log(F.count("*"))).alias("tf"))
+#: Up to so many grams (16 bytes each) go to every task; beyond that the counts are joined by a shuffle.
+CARRIED = 1 << 22
+#: Grams that a task gathers before it sums them up, and rows of a batch.
+HELD, ROWS = 1 << 22, 1 << 16
+
+
+def _frequencies(texts: DataFrame, grams, only: np.ndarray | None = None) -> DataFrame:
+    """``key, g, tf`` for each distinct gram of each text of ``texts`` (a key and words), of ``only`` these grams if given. Counted inside the task, text by text."""
+    key = texts.schema[0]
+
+    def run(batches):
+        for batch in batches:
+            rows, found, times, held = [], [], [], 0
+            for i, words in enumerate(batch.column(1).to_pylist()):
+                g, n = numbers(words, grams)
+                if only is not None:
+                    at = np.minimum(np.searchsorted(only, g), max(0, len(only) - 1))
+                    keep = only[at] == g if len(only) else np.zeros(len(g), bool)
+                    g, n = g[keep], n[keep]
+                rows.append(np.full(len(g), i)), found.append(g), times.append(n)
+                held += len(g)
+                if held >= ROWS:
+                    yield _postings(batch, rows, found, times, key.name)
+                    rows, found, times, held = [], [], [], 0
+            if held:
+                yield _postings(batch, rows, found, times, key.name)
+
+    return texts.mapInArrow(run, f"{key.name} {key.dataType.simpleString()}, g long, tf double")
+
+
+def _postings(batch, rows, found, times, name):
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(found)), pa.array(1 + np.log(np.concatenate(times)))], [name, "g", "tf"])
+
+
+def _document_counts(texts: DataFrame, grams) -> DataFrame:
+    """``g, df``: in how many texts of a batch each gram is."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def summed():
+            g, n = np.unique(np.concatenate(held), return_counts=True)
+            for k in range(0, len(g), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(g[k : k + ROWS]), pa.array(n[k : k + ROWS])], ["g", "df"])
+
+        for batch in batches:
+            for words in batch.column(1).to_pylist():
+                g = numbers(words, grams)[0]
+                held.append(g)
+                size += len(g)
+                if size >= HELD:
+                    yield from summed()
+                    held, size = [], 0
+        if held:
+            yield from summed()
+
+    return texts.mapInArrow(run, "g long, df long")
+
+
+def _norms(texts: DataFrame, idf: DataFrame, grams) -> DataFrame:
+    """``doc_id, norm``. Inside the row if the idf table is small enough to carry, else by joins with it."""
+    if idf.count() > CARRIED:
+        w = F.col("tf") * F.col("idf")
+        return _frequencies(texts, grams).join(idf, "g").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    table = idf.orderBy("g").toArrow()
+    held = texts.sparkSession.sparkContext.broadcast((table["g"].to_numpy(), table["idf"].to_numpy()))
+    key = texts.schema[0].dataType.simpleString()
+
+    def run(batches):
+        g, weight = held.value
+        for batch in batches:
+            out = []
+            for words in batch.column(1).to_pylist():
+                own, n = numbers(words, grams)
+                out.append(float(np.sqrt((((1 + np.log(n)) * weight[np.searchsorted(g, own)]) ** 2).sum())) if len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "norm"])
+
+    return texts.mapInArrow(run, f"doc_id {key}, norm double").where("norm IS NOT NULL")
 
 
 def tfidf_index(docs: DataFrame, grams=word_grams) -> Index:
-    """tf = 1 + ln(count), idf = ln((1 + N) / (1 + df)) + 1.
+    """tf = 1 + ln(count), idf = ln((1 + N) / (1 + df)) + 1. ``docs``: doc_id, text; a null text has no grams.
 
-    Postings are written once; document frequencies and norms are sums that are combined before their shuffle. Ask as many query sets as you like.
+    Only (gram, number of texts) is shuffled, summed up in every task before; no posting is. Ask as many query sets as you like.
     """
-    n = docs.count()
-    postings = kept(_frequencies(docs, "doc_id", grams), "postings")
-    idf = kept(postings.groupBy("g").agg((F.log(F.lit(1.0 + n) / (1 + F.count("*"))) + 1).alias("idf")), "idf")
-    w = F.col("tf") * F.col("idf")
-    norms = kept(postings.join(idf, "g").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm")), "norms")
-    return Index(postings, idf, norms, grams)
+    texts, n = docs.select("doc_id", _split(F.col("text"), grams).alias("words")), docs.count()
+    counts = _document_counts(texts, grams).groupBy("g").agg(F.sum("df").alias("df"))
+    idf = kept(counts.select("g", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    return Index(texts, idf, kept(_norms(texts, idf, grams), "norms"), grams)
 
 
 def tfidf(index: Index, queries: DataFrame) -> DataFrame:
-    """``query_id, doc_id, score``: cosine of tf-idf vectors. Query grams that no document has are dropped before the query's norm; of the corpus only the queries' grams are kept."""
-    asked = _frequencies(queries, "query_id", index.grams).join(index.idf, "g").select("query_id", "g", (F.col("tf") * F.col("idf")).alias("q"), "idf")
+    """``query_id, doc_id, score``: cosine of tf-idf vectors. Query grams that no document has are dropped before the query's norm; of the corpus only the queries' grams leave their task."""
+    words = queries.select("query_id", _split(F.col("text"), index.grams).alias("words"))
+    asked = _frequencies(words, index.grams).join(index.idf, "g").select("query_id", "g", (F.col("tf") * F.col("idf")).alias("q"), "idf")
     asked = kept(asked, "asked")
     qn = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    dots = index.postings.join(broadcast_if_small(asked), "g").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
+    grams = asked.select("g").distinct()
+    only = np.sort(grams.toArrow()["g"].to_numpy()) if grams.count() <= CARRIED else None
+    dots = _frequencies(index.texts, index.grams, only).join(broadcast_if_small(asked), "g").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
     found = dots.join(index.norms, "doc_id").join(broadcast_if_small(qn), "query_id")
     return found.select("query_id", "doc_id", (F.col("dot") / F.col("norm") / F.col("qn")).alias("score"))
 
