@@ -8,6 +8,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     ``docs``: doc_id, text. ``queries``: query_id, text. Only the queries' words are kept of the exploded corpus, before its first shuffle; lengths are
     counted in the row.
     """
-    corpus = docs.select("doc_id", tokens(F.col("text")).alias("k")).select("doc_id", "k", F.size("k").alias("dl"))
+    corpus = _spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("k")).select("doc_id", "k", F.size("k").alias("dl"))
     asked = kept(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked")
     words = asked.select("term").distinct()
     n, mean = corpus.agg(F.count("*"), F.avg("dl")).first()
@@ -157,8 +158,8 @@ CARRIED = 1 << 22
 HELD, ROWS = 1 << 22, 1 << 16
 
 
-def _frequencies(texts: DataFrame, grams, only: np.ndarray | None = None) -> DataFrame:
-    """``key, g, tf`` for each distinct gram of each text of ``texts`` (a key and words), of ``only`` these grams if given. Counted inside the task, text by text."""
+def _frequencies(texts: DataFrame, grams) -> DataFrame:
+    """``key, g, tf`` for each distinct gram of each text of ``texts`` (a key and words). Counted inside the task, text by text."""
     key = texts.schema[0]
 
     def run(batches):
@@ -166,10 +167,6 @@ def _frequencies(texts: DataFrame, grams, only: np.ndarray | None = None) -> Dat
             rows, found, times, held = [], [], [], 0
             for i, words in enumerate(batch.column(1).to_pylist()):
                 g, n = numbers(words, grams)
-                if only is not None:
-                    at = np.minimum(np.searchsorted(only, g), max(0, len(only) - 1))
-                    keep = only[at] == g if len(only) else np.zeros(len(g), bool)
-                    g, n = g[keep], n[keep]
                 rows.append(np.full(len(g), i)), found.append(g), times.append(n)
                 held += len(g)
                 if held >= ROWS:
@@ -185,6 +182,12 @@ def _postings(batch, rows, found, times, name):
     return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(found)), pa.array(1 + np.log(np.concatenate(times)))], [name, "g", "tf"])
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores is dealt to all of them; larger inputs are read where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _document_counts(texts: DataFrame, grams) -> DataFrame:
     """``g, df``: in how many texts of a batch each gram is."""
 
@@ -231,26 +234,61 @@ def _norms(texts: DataFrame, idf: DataFrame, grams) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {key}, norm double").where("norm IS NOT NULL")
 
 
+def _dots(index: Index, asked: DataFrame) -> DataFrame:
+    """``query_id, doc_id, dot``. The queries' weights go to every task by gram, so a text meets all queries at once and gives one row for each that it shares a gram with."""
+    table = asked.select("g", "query_id", (F.col("q") * F.col("idf")).alias("w")).orderBy("g").toArrow()
+    names = table["query_id"].combine_chunks().unique()
+    at = pa.compute.index_in(table["query_id"].combine_chunks(), names).to_numpy()
+    g, first = np.unique(table["g"].to_numpy(), return_index=True)
+    held = index.texts.sparkSession.sparkContext.broadcast((g, np.append(first, len(at)), at, table["w"].to_numpy(), names))
+    grams, key = index.grams, index.texts.schema[0].dataType.simpleString()
+
+    def run(batches):
+        g, first, query, weight, names = held.value
+        for batch in batches:
+            rows, found, dots, size = [], [], [], 0
+            for i, words in enumerate(batch.column(1).to_pylist()):
+                own, n = numbers(words, grams)
+                place = np.minimum(np.searchsorted(g, own), max(0, len(g) - 1))
+                keep = g[place] == own if len(g) else np.zeros(len(own), bool)
+                place, tf = place[keep], 1 + np.log(n[keep])
+                many = first[place + 1] - first[place]
+                each = np.repeat(first[place] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                dot = np.bincount(query[each], np.repeat(tf, many) * weight[each], minlength=len(names))
+                met = np.flatnonzero(dot)
+                rows.append(np.full(len(met), i)), found.append(met), dots.append(dot[met])
+                size += len(met)
+                if size >= ROWS:
+                    yield _met(batch, names, rows, found, dots)
+                    rows, found, dots, size = [], [], [], 0
+            if size:
+                yield _met(batch, names, rows, found, dots)
+
+    return index.texts.mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, doc_id {key}, dot double")
+
+
+def _met(batch, names, rows, found, dots):
+    return pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(found))), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(dots))], ["query_id", "doc_id", "dot"])
+
+
 def tfidf_index(docs: DataFrame, grams=word_grams) -> Index:
     """tf = 1 + ln(count), idf = ln((1 + N) / (1 + df)) + 1. ``docs``: doc_id, text; a null text has no grams.
 
     Only (gram, number of texts) is shuffled, summed up in every task before; no posting is. Ask as many query sets as you like.
     """
-    texts, n = docs.select("doc_id", _split(F.col("text"), grams).alias("words")), docs.count()
+    texts, n = _spread(docs.select("doc_id", "text")).select("doc_id", _split(F.col("text"), grams).alias("words")), docs.count()
     counts = _document_counts(texts, grams).groupBy("g").agg(F.sum("df").alias("df"))
     idf = kept(counts.select("g", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
     return Index(texts, idf, kept(_norms(texts, idf, grams), "norms"), grams)
 
 
 def tfidf(index: Index, queries: DataFrame) -> DataFrame:
-    """``query_id, doc_id, score``: cosine of tf-idf vectors. Query grams that no document has are dropped before the query's norm; of the corpus only the queries' grams leave their task."""
+    """``query_id, doc_id, score``: cosine of tf-idf vectors. Query grams that no document has are dropped before the query's norm; of the corpus only the scores leave their task, unless the queries have more grams than a task can carry."""
     words = queries.select("query_id", _split(F.col("text"), index.grams).alias("words"))
     asked = _frequencies(words, index.grams).join(index.idf, "g").select("query_id", "g", (F.col("tf") * F.col("idf")).alias("q"), "idf")
     asked = kept(asked, "asked")
     qn = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    grams = asked.select("g").distinct()
-    only = np.sort(grams.toArrow()["g"].to_numpy()) if grams.count() <= CARRIED else None
-    dots = _frequencies(index.texts, index.grams, only).join(broadcast_if_small(asked), "g").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
+    dots = _dots(index, asked) if asked.count() <= CARRIED else _frequencies(index.texts, index.grams).join(asked, "g").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
     found = dots.join(index.norms, "doc_id").join(broadcast_if_small(qn), "query_id")
     return found.select("query_id", "doc_id", (F.col("dot") / F.col("norm") / F.col("qn")).alias("score"))
 
