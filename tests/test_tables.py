@@ -97,3 +97,11 @@ def test_tables_of_texts(spark):
     df = spark.createDataFrame([(1, "a | b | c\nd | e |  f  g | h\n\nx | y | z\nno"), (2, None), (3, ""), (4, "a | b")], "doc_id long, text string")
     got = [tuple(r) for r in T.text_tables(df, "doc_id", "text").orderBy("doc_id", "table_no", "row_no").collect()]
     assert got == [(1, 1, 1, ["a", "b", "c"]), (1, 1, 2, ["d", "e", "f g", "h"]), (1, 2, 1, ["x", "y", "z"])]
+
+
+def test_running_ids_are_never_cut(spark, tmp_path):
+    from factloom.queries import QUERIES
+
+    spark.range(1200).selectExpr("id AS doc_id", "'s' AS source", "'en' AS lang", "'t' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    ids = [r.chunk_id for r in QUERIES["w07_sequence_numbers"](spark, str(tmp_path)).collect()]
+    assert len(set(ids)) == 1200 and "s_en_007" in ids and "s_en_1200" in ids
