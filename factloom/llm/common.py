@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,14 @@ def appended(frame: DataFrame, run, *more: str) -> DataFrame:
     return plain.mapInArrow(run, ", ".join([*schema, *more])).toDF(*frame.columns, *(m.split()[0] for m in more))
 
 
+def slices(batches, rows: int = 512):
+    """The Arrow ``batches`` in parts of at most ``rows`` rows, so that Python values of few rows live at once; then Arrow's unused memory goes back, as workers outlive a stage."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 #: Bits of one row of a bitmap, and the most rows that a bitmap has (32 MB in all).
 ROW_BITS, MOST_ROWS = 1 << 15, 1 << 13
 

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import slices
+
 CAPACITY, POOL, END_ID = 1024, 1 << 21, 0
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Characters on which both encoders of the byte-level vocabulary split alike; other texts take the slower encoder.
@@ -130,7 +132,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 part, rows = rows[:4096], rows[4096:]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), TYPES)], NAMES)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.array([*encode(text, vocabulary), END_ID], "<u4")
                 whole = len(ids) - len(ids) % capacity

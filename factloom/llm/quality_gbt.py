@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import appended, others
+from factloom.llm.common import appended, others, slices
 
 #: At most about so many labelled rows are fitted.
 SAMPLE = 20_000
@@ -154,14 +154,12 @@ def measured(docs: DataFrame, text_col: str = "text", forest: Forest | None = No
     place = [c.lower() for c in frame.columns].index(text_col.lower())
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                both = [statistics(t) for t in part.column(place).to_pylist()]
-                x = np.array([b for _, b in both], np.float64).reshape(-1, len(FEATURES))
-                last = pa.array(held.value.probabilities(x)) if held.value else pa.array(x.tolist(), pa.list_(pa.float64()))
-                counts = [pa.array(c, pa.int64()) for c in zip(*(a for a, _ in both))]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns)), *counts, last], schema=pa.schema([*part.schema, *extra]))
+        for part in slices(batches):
+            both = [statistics(t) for t in part.column(place).to_pylist()]
+            x = np.array([b for _, b in both], np.float64).reshape(-1, len(FEATURES))
+            last = pa.array(held.value.probabilities(x)) if held.value else pa.array(x.tolist(), pa.list_(pa.float64()))
+            counts = [pa.array(c, pa.int64()) for c in zip(*(a for a, _ in both))]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns)), *counts, last], schema=pa.schema([*part.schema, *extra]))
 
     return appended(frame, run, *(f"{c} long" for c in COUNTS), "score double" if forest else "features array<double>")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import appended, others, stored
+from factloom.llm.common import appended, others, slices, stored
 
 #: At most about so many labelled rows of each class are fitted, and no text of more bytes.
 SAMPLE, SAMPLE_BYTES = 2000, 1 << 16
@@ -32,7 +32,7 @@ WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 1 << 14
 
 
-@lru_cache(1 << 17)
+@lru_cache(1 << 15)
 def rows_of(word: str) -> tuple[int, int, int, int]:
     """The embedding rows of a word."""
     return tuple(crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in (word, "<" + word[:5], "<" + word[:4], word[-4:] + ">"))
@@ -227,11 +227,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         m = held.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                scores = np.fromiter((m.score(x.as_py()) for x in part.column(place)), np.float64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns)), pa.array(scores)], schema=pa.schema([*part.schema, pa.field("score", pa.float64())]))
+        for part in slices(batches):
+            scores = np.fromiter((m.score(x.as_py()) for x in part.column(place)), np.float64, part.num_rows)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns)), pa.array(scores)], schema=pa.schema([*part.schema, pa.field("score", pa.float64())]))
 
     return appended(frame, run, "score double")
 
