@@ -78,6 +78,18 @@ def test_near_duplicates_against_all_pairs(spark):
         assert all(got[i] == i for i in brute if brute[i] == i)
 
 
+def test_plan_of_large_tables_against_all_pairs(spark, monkeypatch):
+    """The plan that tables above ``FEW`` fingerprints take, on a small one."""
+    monkeypatch.setattr(M, "FEW", 0)
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    brute, near = brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(docs).collect()}
+    missed = [i for i in brute if brute[i] != i and got[i] == i]
+    print("missed", len(missed), "of", sum(brute[i] != i for i in brute), "pairs", len(near))
+    assert set(got) == set(brute) and len(missed) <= 0.05 * sum(brute[i] != i for i in brute)
+    assert all(got[i] == i for i in brute if brute[i] == i)
+
+
 def test_large_groups_of_near_copies_are_whole(spark):
     import random
 
