@@ -33,14 +33,14 @@ def asked(t):
 @query(BM25 + " SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM b")
 def r04_bm25(t):
     """R-04, A-06, A-07, W-01, T-04: BM25 of every passage against all documents, the best 80 of each."""
-    out = R.top_n(R.bm25(t("documents").select("doc_id", "text"), asked(t)), 80)
+    out = R.top_n(R.bm25_best(t("documents").select("doc_id", "text"), asked(t), 80), 80)
     return out.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(BM25 + TFIDF + " SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM c")
 def r06_word_tfidf(t):
     """R-06, R-07: cosine of word and word-pair tf-idf vectors."""
-    out = R.top_n(R.tfidf(R.tfidf_index(t("documents").select("doc_id", "text")), asked(t)), 80)
+    out = R.top_n(R.tfidf_best([(R.tfidf_index(t("documents").select("doc_id", "text")), 1.0)], asked(t), 80), 80)
     return out.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -52,7 +52,7 @@ SELECT query_id, doc_id, round(fused, 6) AS fused, round(most_bm25, 6) AS most_b
 def a08_rank_fusion(t):
     """A-08, A-09, F-11, R-08: reciprocal rank fusion; the source filter stands after it, as ranks are over all sources."""
     docs = t("documents").select("doc_id", "text")
-    b, c = R.top_n(R.bm25(docs, asked(t)), 80), R.top_n(R.tfidf(R.tfidf_index(docs), asked(t)), 80)
+    b, c = R.top_n(R.bm25_best(docs, asked(t), 80), 80), R.top_n(R.tfidf_best([(R.tfidf_index(docs), 1.0)], asked(t), 80), 80)
     both = b.withColumn("k", F.lit("b")).unionByName(c.withColumn("k", F.lit("c")))
     most = lambda k: F.round(F.max(F.when(F.col("k") == k, F.col("score"))), 6)
     f = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 6).alias("fused"), most("b").alias("most_bm25"), most("c").alias("most_tfidf"))
@@ -73,7 +73,7 @@ SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 )
 def r05_char_tfidf(t):
     """R-05, R-07: cosine of character n-grams inside words of whole texts; every passage asks."""
-    out = R.top_n(R.tfidf(R.tfidf_index(t("documents").select("doc_id", "text"), R.char_grams), asked(t)), 10)
+    out = R.top_n(R.tfidf_best([(R.tfidf_index(t("documents").select("doc_id", "text"), R.char_grams), 1.0)], asked(t), 10), 10)
     return out.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
