@@ -23,8 +23,10 @@ from factloom.llm.common import bitmap, connected_components, parted, slices, st
 from factloom.llm.simhash_dedup import ball, constants, majority, shingle_hashes, tagged
 
 SHINGLE, SIMILARITY, RADIUS, DENSE, LEADERS = 5, 0.8, 30, 8, 2
-#: (lane, first bit, width, probe radius) of the segments, for up to so many distinct fingerprints; wider ones keep buckets small.
-NARROW, WIDE, FEW = [(k, b, 16, 1) for k in (0, 1) for b in (0, 16, 32, 48)], [(k, *s, 2) for k in (0, 1) for s in ((0, 21), (21, 21), (42, 22))], 1 << 22
+#: (lane, first bit, width, probe radius) of the segments, the same for any number of documents.
+PLAN = [(k, b, 16, 1) for k in (0, 1) for b in (0, 16, 32, 48)]
+#: So many distinct fingerprints meet in the session's number of tasks; more meet in more tasks. This deals out work and decides nothing.
+FEW = 1 << 22
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -86,14 +88,16 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), "d").distinct()
 
 
-def candidates(fps: DataFrame, plan, dense: int = DENSE) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """(pairs ``u``, ``v`` to verify, with their distance ``d``; the dense segment values, if any; the probes). ``fps``: distinct ``f0, f1`` with their ``rep``."""
+def candidates(fps: DataFrame, plan, dense: int = DENSE, times: int = 1) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(pairs ``u``, ``v`` to verify, with their distance ``d``; the dense segment values, if any; the probes). ``fps``: distinct ``f0, f1`` with their ``rep``. ``times``: how many times the session's tasks share the join."""
     index, probes = _keys(fps, plan, probe=False), _keys(fps, plan, probe=True)
     leader = [F.min_by(F.struct("f0", "f1", "rep"), F.xxhash64("rep", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
     heavy = stored(index.groupBy("key").agg(F.count("*").alias("n"), *leader).where(F.col("n") > dense), "dense")
     crowded = not heavy.isEmpty()
     thin = index.join(heavy.select("key"), "key", "left_anti")
-    a, b = probes.alias("a"), thin.alias("b")
+    parts = times * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (x if times == 1 else x.repartition(parts, "key") for x in (probes, thin))
+    a, b = a.alias("a"), b.alias("b")
     meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") != F.col("b.rep")) & (_distance("a.", "b.") <= RADIUS)
     # the planner does not see how many rows explode() makes, so it must not take the probes for a small side
     found = a.hint("merge").join(b, meets).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), _distance("a.", "b.").alias("d"))
@@ -183,10 +187,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = stored(_fingerprints(docs, shingle), "wide")
     fps = stored(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")), "distinct")
-    n = fps.count()
-    plan = NARROW if n <= FEW else WIDE
+    n, plan = fps.count(), PLAN
     dense = max(dense, 4 * n >> min(width for _, _, width, _ in plan))
-    pairs, heavy, probes = candidates(fps.where("rep is not null"), plan, dense)
+    parts = max(1, -(-n // max(1, FEW)))
+    pairs, heavy, probes = candidates(fps.where("rep is not null"), plan, dense, min(64, parts * parts))
     links = verified(stored(pairs, "pairs"), docs, shingle, similarity)
     classes = stored(_classes(links), "classes")
     if heavy is not None:

@@ -123,3 +123,15 @@ def test_stages_on_odd_tables(spark):
             if name != "packing":  # own columns whose names clash come through unchanged
                 assert out.columns == table.columns
                 assert {tuple(r)[5:] for r in out.collect()} <= {("own",) * (len(table.columns) - 5)}
+
+
+def test_same_classes_on_tables_of_any_size(spark, monkeypatch):
+    """The number of fingerprints spreads the work and changes no class, candidate or probe."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").limit(400)
+    plans, own = [], M.candidates
+    monkeypatch.setattr(M, "candidates", lambda fps, plan, dense, *more: (plans.append(plan), own(fps, plan, dense, *more))[1])
+    got = []
+    for few in (1 << 22, 200):
+        monkeypatch.setattr(M, "FEW", few)
+        got.append(sorted((r.doc_id, r.component_id) for r in M.near_duplicates(docs).collect()))
+    assert got[0] == got[1] and plans[0] == plans[1]
