@@ -70,16 +70,20 @@ def packed_chunks(docs: DataFrame, doc_id: str, text: str, limit: int = CHUNK) -
 def merged_rows(rows: DataFrame, table: str, ordinal: str, cells: str) -> DataFrame:
     """Rows whose first cell is empty continue the row before them; their cells are appended, cell by cell.
 
-    A running count of rows that open a new one numbers them; the cells of one number are then joined by position.
+    A running count of rows that open a new one numbers them; the cells of one number are then joined by position. All happens behind one shuffle by table, also if ``rows`` come
+    dealt by table already; a row without cells adds none.
     """
     opens = (F.coalesce(F.trim(F.get(cells, 0)), F.lit("")) != "").cast("int")
     w = Window.partitionBy(table).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
     numbered = rows.select(table, ordinal, cells).withColumn("_row", F.sum(opens).over(w))
-    each = numbered.select(table, "_row", ordinal, F.posexplode_outer(cells).alias("_at", "_cell"))
-    joined = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.when(F.trim("_cell") != "", F.struct(F.col(ordinal).alias("o"), F.trim("_cell").alias("c"))))), lambda x: x["c"]))
-    by_cell = each.groupBy(table, "_row", "_at").agg(F.min(ordinal).alias(ordinal), F.nullif(joined, F.lit("")).alias("_cell"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_cell"))), lambda x: x["_cell"])
-    return by_cell.groupBy(table, "_row").agg(F.min(ordinal).alias(ordinal), ordered.alias(cells)).drop("_row")
+    parts = numbered.groupBy(table, "_row").agg(F.min(ordinal).alias(ordinal), F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(cells).alias("c"))).alias("_parts"))
+
+    def joined(at):
+        said = F.filter(F.transform("_parts", lambda r: F.struct(r["o"].alias("o"), F.trim(F.get(r["c"], at)).alias("c"))), lambda x: x["c"] != "")
+        return F.nullif(F.concat_ws(" ", F.transform(F.array_sort(said), lambda x: x["c"])), F.lit(""))
+
+    width = F.greatest(F.array_max(F.transform("_parts", lambda r: F.size(r["c"]))), F.lit(1))
+    return parts.select(table, ordinal, F.transform(F.sequence(F.lit(0), width - 1), joined).alias(cells))
 
 
 def contained(spans: DataFrame, sources: DataFrame, span_id: str, source_id: str, text: str) -> DataFrame:

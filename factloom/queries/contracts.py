@@ -97,7 +97,7 @@ def w10_wrapped_rows(t):
 
     i = (F.col("l_linenumber") * 100_000 + F.col("l_partkey")).alias("i")
     rows = t("lineitem").select(F.col("l_orderkey").alias("t"), i, F.array(F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")), F.col("l_linenumber").cast("string")).alias("c"), "l_suppkey", "l_tax", "l_extendedprice")
-    rows = first_per(rows, ["t", "i"], [F.col("l_suppkey"), F.col("l_tax"), F.col("l_extendedprice")])
+    rows = first_per(rows.repartition("t"), ["t", "i"], [F.col("l_suppkey"), F.col("l_tax"), F.col("l_extendedprice")])
     out = merged_rows(rows, "t", "i", "c")
     return out.select("t", "i", F.concat_ws("/", F.coalesce(F.get("c", 0), F.lit("")), F.get("c", 1)).alias("cells"))
 

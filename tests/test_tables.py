@@ -105,3 +105,10 @@ def test_running_ids_are_never_cut(spark, tmp_path):
     spark.range(1200).selectExpr("id AS doc_id", "'s' AS source", "'en' AS lang", "'t' AS text").write.parquet(str(tmp_path / "documents.parquet"))
     ids = [r.chunk_id for r in QUERIES["w07_sequence_numbers"](spark, str(tmp_path)).collect()]
     assert len(set(ids)) == 1200 and "s_en_007" in ids and "s_en_1200" in ids
+
+
+def test_wrapped_rows_take_one_shuffle(spark):
+    from factloom.queries import QUERIES
+
+    df = QUERIES["w10_wrapped_rows"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
