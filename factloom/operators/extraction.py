@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,25 +47,36 @@ def heading_spans(pages: DataFrame, page_id: str, text: str, pattern: str) -> Da
 def packed_chunks(docs: DataFrame, doc_id: str, text: str, limit: int = CHUNK) -> DataFrame:
     """``doc_id, seq, chunk``: paragraphs joined while they fit ``limit`` characters; a longer paragraph is cut hard. Nothing is lost but line ends."""
 
-    def run(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            rows = []
-            for did, body in zip(pdf[doc_id], pdf[text].fillna("")):
-                seq, held = 0, ""
-                for para in body.split("\n"):
-                    pieces = [para[i : i + limit] for i in range(0, len(para), limit)]
-                    for piece in pieces:
-                        if held and len(held) + 1 + len(piece) > limit:
-                            rows.append((did, seq, held))
-                            seq, held = seq + 1, ""
-                        held = f"{held}\n{piece}" if held else piece
-                if held:
-                    rows.append((did, seq, held))
-            yield pd.DataFrame(rows, columns=[doc_id, "seq", "chunk"])
-
-    return docs.select(doc_id, text).mapInPandas(run, f"{doc_id} long, seq long, chunk string")
+    def chunks(body):
+        held = ""
+        for para in body.split("\n"):
+            for i in range(0, len(para), limit):
+                piece = para[i : i + limit]
+                if held and len(held) + 1 + len(piece) > limit:
+                    yield held
+                    held = ""
+                held = f"{held}\n{piece}" if held else piece
+        if held:
+            yield held
+
+    def made(ids, seqs, found):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seqs, pa.int64()), pa.array(found, pa.string())], [doc_id, "seq", "chunk"])
+
+    def run(batches):
+        for batch in batches:
+            ids, seqs, found, size = [], [], [], 0
+            for i in range(batch.num_rows):  # one text is decoded at a time; chunks leave by the megabyte
+                did = batch.column(0)[i].as_py()
+                for seq, chunk in enumerate(chunks(batch.column(1)[i].as_py() or "")):
+                    ids.append(did), seqs.append(seq), found.append(chunk)
+                    size += len(chunk)
+                    if size >= 1 << 20:
+                        yield made(ids, seqs, found)
+                        ids, seqs, found, size = [], [], [], 0
+            if ids:
+                yield made(ids, seqs, found)
+
+    return docs.select(doc_id, text).mapInArrow(run, f"{doc_id} long, seq long, chunk string")
 
 
 def merged_rows(rows: DataFrame, table: str, ordinal: str, cells: str) -> DataFrame:

@@ -254,3 +254,11 @@ def test_marks_of_a_text_found_once(spark):
     df = spark.createDataFrame([(q, t) for q in asks for t in texts], "q string, t string").withColumn("m", retrieval.content_marks(F.col("t")))
     got = df.select(retrieval.content_multiplier(F.col("q"), F.col("t")).alias("a"), retrieval.content_multiplier(F.col("q"), F.col("t"), F.col("m")).alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got] and len({r.a for r in got}) > 5
+
+
+def test_packed_chunks_are_streamed(spark):
+    docs = spark.createDataFrame([(1, "ab\n" * 1_200_000), (2, None)], "doc_id long, text string")
+    out = extraction.packed_chunks(docs, "doc_id", "text")
+    assert "MapInArrow" in out._jdf.queryExecution().toString()  # no frame of all chunks of a batch of texts
+    got = sorted((r.seq, r.chunk) for r in out.collect())
+    assert [s for s, _ in got] == list(range(len(got))) and "\n".join(c for _, c in got) == "\n".join(["ab"] * 1_200_000) and max(len(c) for _, c in got) <= 3500
