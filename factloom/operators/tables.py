@@ -17,6 +17,8 @@ NO_SALES_CHARGE = ["-", "없음", "해당없음", "해당사항없음"]
 NO_SUBJECT = ["연평균수익률", "단위:%", "단위%)", "(연평균", "최초설정일"]
 NO_SUBJECT_WHOLE = ["종류", "투자비용", "투자실적", "투자실적추이"]
 CHANNELS = ["수수료", "오프라인", "온라인", "퇴직", "종류"]
+#: Syllables of which every name of a share class has one, and every head of a risk table: cells without are not read any further.
+CLASS_SIGNS, RISK_SIGNS = ["수", "종", "라", "퇴"], ["구", "위"]
 RISK_NAME_HEADS = ["구분", "세부구분", "위험구분", "투자위험구분"]
 RISK_TEXT_HEADS = ["주요투자위험내용", "위험의주요내용"]
 FEE_CLASS = r"수수료(선취|후취|미징구)(?:-?(오프라인|온라인슈퍼|온라인|직판))?.*?-?(퇴직연금|개인연금)?.*?\(([A-Za-z][A-Za-z0-9\-]*)\)"
@@ -41,13 +43,17 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", "")
 
 
+def without_commas(c: Column) -> Column:
+    return F.replace(c, F.lit(","), F.lit(""))
+
+
 def is_number(c: Column) -> Column:
-    return F.regexp_replace(c, ",", "").rlike(r"^-?\d+(\.\d+)?$")
+    return without_commas(c).rlike(r"^-?\d+(\.\d+)?$")
 
 
 def number(c: Column) -> Column:
     """The value of a numeric cell, null for others."""
-    return F.when(is_number(c), F.regexp_replace(c, ",", "").try_cast("double"))
+    return F.when(is_number(c), without_commas(c).try_cast("double"))
 
 
 def is_date(c: Column) -> Column:
@@ -76,7 +82,7 @@ def is_class(c: Column) -> Column:
         named = (fee & x.rlike(code)) | x.rlike(r"^종류[A-Za-z]") | (x.rlike(code + "$") & _any(x, CHANNELS)) | (fee & _any(x, ["선취", "미징구", "후취"]))
         return (x != "") & ~x.isin(HEADER_WORDS) & ~x.startswith("투자자") & (F.length(x) <= 80) & named
 
-    return let(compact(c), named)
+    return F.when(_any(c, CLASS_SIGNS), let(compact(c), named)).otherwise(c.isNull() & F.lit(None))
 
 
 def class_name(cells: Column) -> Column:
@@ -84,11 +90,12 @@ def class_name(cells: Column) -> Column:
 
     def named(blob: Column) -> Column:
         part = lambda i: F.regexp_extract(blob, FEE_CLASS, i)
-        dashed = lambda p: F.when(p != "", F.concat(F.lit("-"), p)).otherwise("")
-        fee = F.concat(F.lit("수수료"), part(1), dashed(part(2)), dashed(part(3)), F.lit("("), part(4), F.lit(")"))
-        return F.when(part(4) != "", fee)
+        dashed = lambda p: let(p, lambda x: F.when(x != "", F.concat(F.lit("-"), x)).otherwise(""))
+        fee = lambda code: F.concat(F.lit("수수료"), part(1), dashed(part(2)), dashed(part(3)), F.lit("("), code, F.lit(")"))
+        return F.when(blob.contains("수수료"), let(part(4), lambda code: F.when(code != "", fee(code))))
 
-    kinds = F.filter(F.transform(cells, lambda c: F.regexp_extract(compact(c), KIND_CLASS, 1)), lambda k: k != "")  # within a cell: a number beside it is no part of it
+    kind = lambda c: F.regexp_extract(compact(c), KIND_CLASS, 1)
+    kinds = F.filter(F.transform(F.filter(cells, lambda c: c.contains("종")), kind), lambda k: k != "")  # within a cell: a number beside it is no part of it
     return F.coalesce(let(compact(F.array_join(cells, "")), named), F.concat(F.lit("종류"), F.get(kinds, F.lit(0))))
 
 
@@ -106,36 +113,43 @@ def fee_row(cells: Column) -> Column:
     A row has a class and three or four rates. Once three rates are read, a cell like ``1,807`` would not fit as an amount: it is a rate whose decimal point
     was read as a comma. Any other number of ``AMOUNT`` or more begins the examples in money, which are left out.
     """
-    blank = F.array().cast("array<string>")
+    def numbers(cells: Column) -> Column:
+        """The numeric cells: their place, the rate that they state, and whether they begin the examples."""
+        known = F.transform(cells, lambda c, i: F.struct(i.alias("at"), c.alias("cell"), without_commas(c).alias("rate"), is_number(c).alias("is")))
+        return F.transform(F.filter(known, lambda x: x["is"]), rated)
 
-    def fold(at: Column, cell: Column) -> Column:
-        comma = (F.size(at["rates"]) == 3) & cell.rlike(r"^\d,[0-9]{3}$")
-        seen = F.struct(
-            (at["over"] | (~comma & F.coalesce(number(cell) >= AMOUNT, F.lit(False)))).alias("over"),
-            F.when(comma, F.regexp_replace(cell, ",", ".")).when(is_number(cell), F.regexp_replace(cell, ",", "")).alias("rate"), is_class(cell).alias("named"),
-        )
-        return let(seen, lambda x: told(at, cell, x))
-
-    def told(at: Column, cell: Column, x: Column) -> Column:
-        word = ~x["over"] & x["rate"].isNull()
-        names = word & x["named"] & ~is_class(at["name"])
-        sells = word & ~names & (at["sales"] == "") & (is_sales_charge(cell) | ~x["named"])
-        return F.struct(
-            x["over"].alias("over"), F.when(names, cell).otherwise(at["name"]).alias("name"), F.when(sells, cell).otherwise(at["sales"]).alias("sales"),
-            F.when(~x["over"] & x["rate"].isNotNull(), F.concat(at["rates"], F.array(x["rate"]))).otherwise(at["rates"]).alias("rates"),
-        )
+    def rated(x: Column, i: Column) -> Column:
+        comma = (i == 3) & x["cell"].rlike(r"^\d,[0-9]{3}$")
+        return F.struct(x["at"].alias("at"), F.when(comma, F.replace(x["cell"], F.lit(","), F.lit("."))).otherwise(x["rate"]).alias("rate"), (~comma & (x["rate"].try_cast("double") >= AMOUNT)).alias("ends"))
+
+    def read(name: Column, cells: Column, found: Column) -> Column:
+        """Rates and words before the examples, and the name, which a cell may state if the row's first cells do not."""
+        ends = F.coalesce(F.array_position(F.transform(found, lambda x: x["ends"]), F.lit(True)), F.lit(0)).cast("int")
+        cut = F.struct(F.when(ends > 0, F.get(found, ends - 1)["at"]).otherwise(F.size(cells)).alias("end"), F.when(ends > 0, ends - 1).otherwise(F.size(found)).alias("n"))
+        return let(cut, lambda c: let(F.transform(F.slice(found, F.lit(1), c["n"]), lambda x: x["rate"]), lambda rates: F.when(F.size(rates) >= 3, let(words(cells, found, c), lambda w: spoken(name, w, rates)))))
+
+    def words(cells: Column, found: Column, cut: Column) -> Column:
+        places = F.transform(found, lambda x: x["at"])
+        told = F.filter(F.transform(F.slice(cells, F.lit(1), cut["end"]), lambda c, i: F.struct(i.alias("at"), c.alias("cell"))), lambda x: ~F.array_contains(places, x["at"]))
+        return F.transform(told, lambda x: F.struct(x["at"].alias("at"), x["cell"].alias("cell"), is_class(x["cell"]).alias("named")))
+
+    def spoken(name: Column, told: Column, rates: Column) -> Column:
+        names = F.when(~is_class(name), F.get(F.filter(told, lambda x: x["named"]), F.lit(0)))
+        return let(names, lambda n: let(F.struct(F.coalesce(n["cell"], name).alias("name"), sales(told, n).alias("sales"), rates.alias("rates")), made))
+
+    def sales(told: Column, n: Column) -> Column:
+        return F.coalesce(F.get(F.filter(told, lambda x: ~x["at"].eqNullSafe(n["at"]) & (~x["named"] | is_sales_charge(x["cell"]))), F.lit(0))["cell"], F.lit(""))
 
     def made(read: Column) -> Column:
         rate, name, four = (lambda i: F.get(read["rates"], F.lit(i))), read["name"], F.size(read["rates"]) >= 4
-        right = (F.size(read["rates"]) >= 3) & (is_class(name) | name.contains("수수료") | name.startswith("종류") | (compact(name) == "투자신탁"))
+        right = name.contains("수수료") | name.startswith("종류") | is_class(name) | (compact(name) == "투자신탁")
         fields = [name, read["sales"], rate(0), rate(1), F.when(four, rate(2)).otherwise(""), F.when(four, rate(3)).otherwise(rate(2))]
         return F.when(right, F.struct(*[v.alias(n) for n, v in zip(FEE_FIELDS, fields)]))
 
     def parsed(values: Column) -> Column:
-        first = F.coalesce(class_name(values), F.get(values, F.lit(0)))
-        start = F.struct(F.lit(False).alias("over"), first.alias("name"), F.lit("").alias("sales"), blank.alias("rates"))
         barred = F.exists(values, lambda x: is_date(x) | x.contains("비교지수") | x.contains("변동성"))
-        return F.when((F.size(values) > 0) & ~barred, let(F.aggregate(_tail(values), start, fold), made))
+        first = F.coalesce(class_name(values), F.get(values, F.lit(0)))
+        return F.when((F.size(values) > 0) & ~barred, let(_tail(values), lambda cells: let(numbers(cells), lambda found: F.when(F.size(found) >= 3, let(first, lambda name: read(name, cells, found))))))
 
     headless = lambda v: F.when(compact(F.get(v, F.lit(0))).isin(HEADER_WORDS), _tail(v)).otherwise(v)
     shorter = lambda v: F.when((F.length(F.get(v, F.lit(0))) > 80) & (F.size(v) > 1), _tail(v)).otherwise(v)
@@ -210,8 +224,10 @@ def unwrapped(rows: Column) -> Column:
 
 
 def _risk_role(cell: Column) -> Column:
-    x = F.regexp_replace(F.coalesce(cell, F.lit("")), "[^가-힣A-Za-z0-9]", "")
-    return F.when(x.isin(RISK_NAME_HEADS), "name").when((x.contains("투자위험") & x.contains("주요내용")) | x.isin(RISK_TEXT_HEADS), "text").otherwise("")
+    def role(x: Column) -> Column:
+        return F.when(x.isin(RISK_NAME_HEADS), "name").when((x.contains("투자위험") & x.contains("주요내용")) | x.isin(RISK_TEXT_HEADS), "text").otherwise("")
+
+    return F.when(_any(cell, RISK_SIGNS), let(F.regexp_replace(cell, "[^가-힣A-Za-z0-9]", ""), role)).otherwise("")
 
 
 def risk_rows(rows: Column) -> Column:

@@ -112,3 +112,11 @@ def test_wrapped_rows_take_one_shuffle(spark):
 
     df = QUERIES["w10_wrapped_rows"](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_a_fee_row_is_built_once(spark):
+    """A filter on what a row gives would be pushed below and build each row a second time."""
+    from factloom.queries import QUERIES
+
+    plan = QUERIES["x04_fee_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("투자신탁") == 1
