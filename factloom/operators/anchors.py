@@ -58,33 +58,37 @@ def best_span(passage: list[str], words: list[str], most: int) -> tuple[int, int
 def approximate_spans(passages: DataFrame, sources: DataFrame, passage_id: str, source_id: str, text: str, percent: int = PERCENT) -> DataFrame:
     """``passage_id, source_id, edits, start, n_words``: the best span (see ``best_span``; places count words from 0) of every source that keeps ``percent`` (1 to 100) of a passage's words.
 
-    A passage of m words with at most k edits leaves all but k*q of its runs of q words as they are, so one of its rarest k*q + 1 runs stands in the source; q is the longest for
-    which that holds. An equality join on those runs finds the candidates, without texts; texts are fetched for candidates only, and the alignment of whole texts decides. Nothing is lost.
+    A passage of m words with at most k edits leaves m - q + 1 - k*q of its runs of q words or more as they are, in a span of m + k words at most; q is the longest for which that is one or more.
+    So a source is read in windows of twice that width, one beginning with every width, and only windows that hold so many of the passage's runs are aligned. Nothing is lost. Sources are dealt by id
+    once; their runs meet the passages' in an equality join and are counted where they lie, as long as the passages' runs are few enough to go to every task.
     Both ids are unique; rows without one, and passages without words (null too), give no rows.
     """
     spare = 100 - percent
     longest = min(LONGEST, 100 // spare) if spare else LONGEST
-    k = F.floor(spare * F.size("_p") / 100).cast("int")
-    own = passages.select(F.col(passage_id).alias("_id"), word_list(F.col(text)).alias("_p")).where("_id is not null and size(_p) > 0").withColumn("_k", k)
-    own = own.withColumn("_q", F.least(F.lit(longest), F.floor(F.size("_p") / (F.col("_k") + 1)).cast("int")))
-    asked = own.select("_id", (F.col("_k") * F.col("_q") + 1).alias("_few"), F.explode(runs(F.col("_p"), F.col("_q"))).alias("_run"))
-    texts = sources.select(F.col(source_id).alias("_source"), word_list(F.col(text)).alias("_words")).where("_source is not null")
-    every = texts.select("_source", F.explode(F.array_distinct(F.concat(*[runs(F.col("_words"), F.lit(q)) for q in range(1, longest + 1)]))).alias("_run"))
-    held = every.join(asked.select("_run").distinct(), "_run", "left_semi")
-    ranked = asked.join(held.groupBy("_run").agg(F.count("*").alias("_df")), "_run", "left").groupBy("_id", "_few").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_run"))).alias("_by"))
-    rarest = ranked.select("_id", F.explode(F.array_distinct(F.slice("_by", F.lit(1), F.col("_few")))).alias("_x")).where("_x._df > 0").select("_id", "_x._run")
-    met = held.join(rarest, "_run").select("_id", "_source").distinct()
-    both = met.join(texts, "_source").join(own.select("_id", "_p", "_k"), "_id")
+    m, k, q = F.size("_p"), F.col("_k"), F.col("_q")
+    own = passages.select(F.col(passage_id).alias("_id"), word_list(F.col(text)).alias("_p")).where("_id is not null and size(_p) > 0").withColumn("_k", F.floor(spare * m / 100).cast("int"))
+    own = own.withColumn("_q", F.least(F.lit(longest), F.floor(m / (k + 1)).cast("int")))
+    asked = own.select("_id", (m - q + 1 - k * q).alias("_least"), (m + k).alias("_wide"), F.explode(F.array_distinct(runs(F.col("_p"), q))).alias("_run"))
+    lengths = sorted(r[0] for r in own.select("_q").distinct().collect())  # LONGEST at most
+    texts = sources.select(F.col(source_id).alias("_source"), F.col(text).alias("_text")).where("_source is not null").repartition("_source").select("_source", word_list(F.col("_text")).alias("_words"))
+    placed = [F.transform(runs(F.col("_words"), F.lit(n)), lambda run, i: F.struct(i.alias("_at"), run.alias("_run"))) for n in lengths or [1]]
+    met = texts.select("_source", F.inline(F.concat(*placed))).join(asked, "_run")
+    window = F.floor(F.col("_at") / F.col("_wide")).cast("int")
+    held = met.select("_source", "_id", "_least", "_wide", F.explode(F.array(window, window - 1)).alias("_window")).where("_window >= 0")
+    full = held.groupBy("_source", "_id", "_window", "_least", "_wide").agg(F.count("*").alias("_n")).where("_n >= _least").groupBy("_source", "_id", "_wide").agg(F.collect_list("_window").alias("_windows"))
+    begins = F.transform("_windows", lambda w: w * F.col("_wide"))
+    pieces = F.transform("_windows", lambda w: F.slice(F.col("_words"), w * F.col("_wide") + 1, 2 * F.col("_wide")))
+    both = full.join(texts, "_source").select("_source", "_id", begins.alias("_begins"), pieces.alias("_pieces")).join(own.select("_id", "_p", "_k"), "_id")
 
     def align(frames):
         import pandas as pd
 
         for pdf in frames:
             rows = []
-            for pid, sid, words, passage, most in zip(pdf["_id"], pdf["_source"], pdf["_words"], pdf["_p"], pdf["_k"]):
-                found = best_span(list(passage), list(words), int(most))
+            for pid, sid, begins, pieces, passage, most in zip(pdf["_id"], pdf["_source"], pdf["_begins"], pdf["_pieces"], pdf["_p"], pdf["_k"]):
+                found = [(span[0], int(begin) + span[1], span[2]) for begin, words in zip(begins, pieces) if (span := best_span(list(passage), list(words), int(most)))]
                 if found:
-                    rows.append((pid, sid, *found))
+                    rows.append((pid, sid, *min(found, key=lambda x: (x[0], x[1] + x[2], x[2]))))
             yield pd.DataFrame(rows, columns=["_id", "_source", "edits", "start", "n_words"])
 
     kinds = {f.name: f.dataType for f in both.schema.fields}
