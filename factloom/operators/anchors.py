@@ -71,8 +71,11 @@ def approximate_spans(passages: DataFrame, sources: DataFrame, passage_id: str,
     asked = own.select("_id", (m - q + 1 - k * q).alias("_least"), (m + k).alias("_wide"), F.explode(F.array_distinct(runs(F.col("_p"), q))).alias("_run"))
     lengths = sorted(r[0] for r in own.select("_q").distinct().collect())  # LONGEST at most
     texts = sources.select(F.col(source_id).alias("_source"), F.col(text).alias("_text")).where("_source is not null").repartition("_source").select("_source", word_list(F.col("_text")).alias("_words"))
-    placed = [F.transform(runs(F.col("_words"), F.lit(n)), lambda run, i: F.struct(i.alias("_at"), run.alias("_run"))) for n in lengths or [1]]
-    met = texts.select("_source", F.inline(F.concat(*placed))).join(asked, "_run")
+    most = max(lengths, default=1)
+    ahead = F.arrays_zip(*[F.slice(F.col("_words"), n, F.greatest(F.size("_words"), F.lit(1))).alias(f"_w{n}") for n in range(1, most + 1)])
+    words = texts.select("_source", F.posexplode(ahead).alias("_at", "_x")).select("_source", "_at", "_x.*")
+    each = [F.when(F.col(f"_w{n}").isNotNull(), F.xxhash64(F.lit(n), F.array(*[f"_w{i}" for i in range(1, n + 1)]))) for n in lengths or [1]]  # as ``runs`` makes them
+    met = words.select("_source", "_at", F.explode(F.array(*each)).alias("_run")).join(asked, "_run")
     window = F.floor(F.col("_at") / F.col("_wide")).cast("int")
     held = met.select("_source", "_id", "_least", "_wide", F.explode(F.array(window, window - 1)).alias("_window")).where("_window >= 0")
     full = held.groupBy("_source", "_id", "_window", "_least", "_wide").agg(F.count("*").alias("_n")).where("_n >= _least").groupBy("_source", "_id", "_wide").agg(F.collect_list("_window").alias("_windows"))

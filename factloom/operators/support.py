@@ -79,10 +79,15 @@ def phrases_in(texts: DataFrame, phrases: DataFrame, text_id: str, phrase_id: st
     own = phrases.select(phrase_id, split(F.col(phrase)).alias("_said")).where(F.size("_said").between(1, longest)).withColumn("_n", F.size("_said"))
     starts = own.groupBy(F.get("_said", F.lit(0)).alias("_first")).agg(F.collect_set("_n").alias("_lengths"))  # at most ``longest`` each
     each = texts.select(text_id, split(F.col(text)).alias("_words"))
-    # each place carries the words that a phrase could take there, never the whole text
-    places = each.select(text_id, F.inline(F.transform("_words", lambda w, i: F.struct((i + 1).alias("at"), w.alias("_first"), F.slice("_words", i + 1, longest).alias("_ahead")))))
-    runs = places.join(starts, "_first").select(text_id, "at", F.explode("_lengths").alias("_n"), "_ahead").where(F.size("_ahead") >= F.col("_n"))
-    runs = runs.select(text_id, "at", "_n", F.slice("_ahead", F.lit(1), F.col("_n")).alias("_said"))
+    most = own.agg(F.max("_n")).first()[0] or 1
+    # each place carries the words that a phrase could take there, never the whole text; they are put together only where a phrase may begin
+    ahead = F.arrays_zip(*[F.slice(F.col("_words"), n, F.greatest(F.size("_words"), F.lit(1))).alias(f"_w{n}") for n in range(1, most + 1)])
+    places = each.select(text_id, F.posexplode(ahead).alias("_i", "_x")).select(text_id, (F.col("_i") + 1).alias("at"), F.col("_x._w1").alias("_first"), *[f"_x._w{n}" for n in range(1, most + 1)])
+    met = places.join(starts, "_first").select(text_id, "at", F.explode("_lengths").alias("_n"), *[f"_w{n}" for n in range(1, most + 1)])
+    said = F.when(F.col("_n") == 1, F.array("_w1"))
+    for n in range(2, most + 1):
+        said = said.when((F.col("_n") == n) & F.col(f"_w{n}").isNotNull(), F.array(*[f"_w{i}" for i in range(1, n + 1)]))
+    runs = met.select(text_id, "at", "_n", said.alias("_said")).where("_said is not null")
     return runs.join(own.drop("_n"), "_said").select(text_id, phrase_id, "at", F.col("_n").alias("n_words"))
 
 

@@ -104,3 +104,13 @@ def test_query_is_equal_to_all_pairs(spark):
     text = {i: w for i, w in docs}, {i: w for i, w in items}
     for item, doc, *found in list(rows)[:20]:
         assert tuple(found) == table(text[1][item], text[0][doc])
+
+
+def test_only_windows_with_enough_runs_are_aligned(spark):
+    """A passage at every place of a long source is found across the borders of windows; a source that says one of its runs again and again is not read."""
+    p = [f"p{i}" for i in range(20)]
+    other = lambda n: [f"o{i}" for i in range(n)]
+    sources = [(i, [*other(i), *p[:9], "new", *p[10:], *other(70)]) for i in range(60)] + [(100, ["p3", "p4", "and"] * 300)]
+    found = A.approximate_spans(*frames(spark, [(1, p)], sources), "p", "s", "text")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, i, 1, i, 20) for i in range(60)]
+    assert "_least" in found._jdf.queryExecution().optimizedPlan().toString()

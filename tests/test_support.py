@@ -60,3 +60,9 @@ def test_phrases_by_plain_search(spark):
                 own.append((at, -q, n))
                 end = at + n - 1
         assert sorted(kept[d]) == own
+
+
+def test_words_are_put_together_only_where_a_phrase_may_begin(spark):
+    t, p = spark.createDataFrame([(1, "a b c")], "d int, text string"), spark.createDataFrame([(1, "b c")], "p int, phrase string")
+    found = S.phrases_in(t, p, "d", "p", "text", "phrase")
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 2, 2)] and "slice(lambda" not in found._jdf.queryExecution().optimizedPlan().toString() and "_ahead" not in found._jdf.queryExecution().analyzed().toString()
