@@ -179,24 +179,26 @@ def reject_rows(question: Column, text: Column, most: int = 5) -> Column:
     return F.transform(F.slice(once, 1, most), lambda x: F.struct(x["code"], x["reason"], x["detail"]))
 
 
-def sentence_windows(text: Column, before: int = 80, after: int = 140) -> Column:
-    """Each sentence of a text with so many characters before and after it. ``text`` must be a plain column."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^\n.!?]+[.!?]?|[\n.!?])"), 1)
+def sentence_windows(text: Column, before: int = 80, after: int = 140, terms: list[str] | None = None) -> Column:
+    """Each sentence of a text with so many characters before and after it; with ``terms`` only those that hold one. A text is read once: its windows are cut where the sentences are found."""
 
-    def placed(p):  # bound once: the sentences and where they start
-        starts = F.aggregate(p, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-        return F.transform(F.array(starts), lambda s: F.transform(p, lambda x, i: F.struct(F.get(s, i).alias("at"), F.length(x).alias("n"), x.rlike(r"^[^\n.!?]").alias("own"))))
+    @F.pandas_udf("array<string>")
+    def cut(texts):
+        piece = re.compile(r"[^\n.!?]+[.!?]?|[\n.!?]")
+        holds = (lambda w: any(t in w for t in terms)) if terms else (lambda w: True)
 
-    spans = F.filter(F.flatten(F.flatten(F.transform(F.array(pieces), placed))), lambda x: x["own"])
+        def windows(x):
+            if x is None or not holds(x):
+                return []
+            spans = (m.span() for m in piece.finditer(x) if m[0][0] not in "\n.!?")
+            return [w for start, end in spans if holds(w := x[max(start - before, 0) : end + after])]
 
-    def window(x):
-        low = F.greatest(x["at"] - before, F.lit(0))
-        return F.regexp_replace(F.substr(text, low + 1, x["at"] + x["n"] + after - low), r"^\s+|\s+$", "")
+        return texts.map(windows)
 
-    return F.filter(F.transform(spans, window), lambda w: w != "")
+    return F.filter(F.transform(cut(text), lambda w: F.regexp_replace(w, r"^\s+|\s+$", "")), lambda w: w != "")
 
 
 def slot(text: Column, terms: list[str], pattern: str | None = None, most: int = 3) -> Column:
     """The first ``most`` sentence windows that hold one of the terms and match the pattern; with no terms any sentence may. Empty: the slot is missing."""
     fits = lambda w: (says(w, terms) if terms else F.lit(True)) & (w.rlike(pattern) if pattern else F.lit(True))
-    return F.slice(F.filter(sentence_windows(text), fits), 1, most)
+    return F.slice(F.filter(sentence_windows(text, terms=terms), fits), 1, most)
