@@ -1,12 +1,14 @@
 """Tables found in texts and pages: runs of rows, wrapped rows, columns' roles, fee, performance and risk rows.
 
 A table is an array of rows, a row an array of cells. All rules are folds and filters over such arrays, so a table is read where it lies: only the lines
-of a text are put together, by their document.
+of a text are put together, by their document. Rules that look at each cell of a row read the row as one string (``line``): a pattern over it costs far
+less than an interpreted function for each cell.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from contextvars import ContextVar
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,15 +26,62 @@ RISK_TEXT_HEADS = ["주요투자위험내용", "위험의주요내용"]
 FEE_CLASS = r"수수료(선취|후취|미징구)(?:-?(오프라인|온라인슈퍼|온라인|직판))?.*?-?(퇴직연금|개인연금)?.*?\(([A-Za-z][A-Za-z0-9\-]*)\)"
 KIND_CLASS = r"종류([A-Za-z][A-Za-z0-9\-]*)"
 GOES_ON = r"^[-–]?(오프라인|온라인|직판|퇴직연금|퇴직|연금|슈퍼)?.{0,24}\([A-Za-z0-9\-]+\)$|^[-–]?(오프라인|온라인슈퍼|온라인|직판|퇴직연금|개인연금|퇴직|연금|슈퍼)$"
+#: What a numeric cell and a date look like, and a cell of a line that is one.
+NUMBER_CELL = r",*(?:-,*)?\d[\d,]*(?:\.,*\d[\d,]*)?"
+DATE_CELL = r"(?:\d{4}|\d{2})[-/.]\d{1,2}[-/.]\d{1,2}"
+WHOLE_NUMBER, WHOLE_DATE = rf"(?dm)^({NUMBER_CELL})$", rf"(?dm)^({DATE_CELL})$"
 FEE_FIELDS = ["class_name", "sales_charge", "total_fee", "sales_fee", "peer_fee", "total_expense"]
 PERIODS = ["1Y", "2Y", "3Y", "5Y", "SI"]
 #: A number from which on a cell of a fee row is an amount of money and no rate.
 AMOUNT = 10
 
 
+_steps: ContextVar[list | None] = ContextVar("steps", default=None)
+
+
 def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once. A column that is named in several places is otherwise built as often, and nested rules grow without bound."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body(value)`` with the value computed once. A column that is named in several places is otherwise built as often, and nested rules grow without bound.
+
+    Within ``computed`` the value becomes a column of its own, elsewhere (in functions over arrays too) the element of an array, which is interpreted.
+    """
+    steps = _steps.get()
+    if steps is None:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+    steps.append((name := f"_step{len(steps)}", value))
+    return body(F.col(name))
+
+
+def given(condition: Column, value: Column, body) -> Column:
+    """``body(value)`` where the condition holds, else null; the value is not computed elsewhere."""
+    if _steps.get() is None:
+        return F.when(condition, let(value, body))
+    return let(condition, lambda c: F.when(c, let(F.when(c, value), body)))
+
+
+def over_array(f):
+    """``f`` for a function over an array: what it names is no column."""
+
+    @wraps(f)
+    def inner(*elements: Column) -> Column:
+        token = _steps.set(None)
+        try:
+            return f(*elements)
+        finally:
+            _steps.reset(token)
+
+    return inner
+
+
+def computed(df: DataFrame, name: str, rule) -> DataFrame:
+    """``df`` with the column that ``rule()`` gives. What the rule computes once are columns below it, so all of it is generated code."""
+    token = _steps.set(steps := [])
+    try:
+        found = rule()
+    finally:
+        _steps.reset(token)
+    for step, value in steps:
+        df = df.withColumn(step, value)
+    return df.withColumn(name, found).drop(*(step for step, _ in steps))
 
 
 def clean(c: Column) -> Column:
@@ -62,12 +111,11 @@ def is_date(c: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """``25.1.3`` and ``2025/1/3`` with dashes and four digits of the year."""
-    plain = F.regexp_replace(c, "[./]", "-")
-    return F.when(plain.rlike(r"^\d{2}-"), F.concat(F.lit("20"), plain)).otherwise(plain)
+    return let(F.translate(c, "./", "--"), lambda plain: F.when(plain.rlike(r"^\d{2}-"), F.concat(F.lit("20"), plain)).otherwise(plain))
 
 
 def is_sales_charge(c: Column) -> Column:
-    return compact(c).isin(NO_SALES_CHARGE) | c.contains("납입")
+    return _bare(c).isin(NO_SALES_CHARGE) | c.contains("납입")
 
 
 def _any(c: Column, words: list[str]) -> Column:
@@ -75,85 +123,116 @@ def _any(c: Column, words: list[str]) -> Column:
 
 
 def is_class(c: Column) -> Column:
-    """A cell that names a share class."""
+    """A clean cell that names a share class."""
 
     def named(x: Column) -> Column:
         code, fee = r"\([A-Za-z][A-Za-z0-9\-]*\)", x.contains("수수료")
-        named = (fee & x.rlike(code)) | x.rlike(r"^종류[A-Za-z]") | (x.rlike(code + "$") & _any(x, CHANNELS)) | (fee & _any(x, ["선취", "미징구", "후취"]))
+        named = (fee & _any(x, ["선취", "미징구", "후취"])) | x.rlike(r"^종류[A-Za-z]") | (fee & x.rlike(code)) | (x.rlike(code + "$") & _any(x, CHANNELS))
         return (x != "") & ~x.isin(HEADER_WORDS) & ~x.startswith("투자자") & (F.length(x) <= 80) & named
 
-    return F.when(_any(c, CLASS_SIGNS), let(compact(c), named)).otherwise(c.isNull() & F.lit(None))
+    return given(_any(c, CLASS_SIGNS), _bare(c), named).otherwise(c.isNull() & F.lit(None))
 
 
-def class_name(cells: Column) -> Column:
-    """The share class that the cells of a row spell together, in its regular form; null if none."""
+def line(cells: Column) -> Column:
+    """The clean cells of a row, joined by newlines, which no clean cell holds."""
 
-    def named(blob: Column) -> Column:
-        part = lambda i: F.regexp_extract(blob, FEE_CLASS, i)
-        dashed = lambda p: let(p, lambda x: F.when(x != "", F.concat(F.lit("-"), x)).otherwise(""))
-        fee = lambda code: F.concat(F.lit("수수료"), part(1), dashed(part(2)), dashed(part(3)), F.lit("("), code, F.lit(")"))
-        return F.when(blob.contains("수수료"), let(part(4), lambda code: F.when(code != "", fee(code))))
+    def joined(raw: Column, cells: Column) -> Column:
+        apart = F.length(raw) - F.length(F.replace(raw, F.lit("\n"), F.lit(""))) == F.size(cells) - 1
+        blanks = raw.contains(" ") & (raw.contains("  ") | raw.contains("\n ") | raw.contains(" \n") | raw.startswith(" ") | raw.endswith(" "))
+        return F.when(apart & ~blanks & ~raw.rlike(r"[\t\x0B\f\r]"), raw).otherwise(F.array_join(F.transform(cells, clean), "\n"))
 
-    kind = lambda c: F.regexp_extract(compact(c), KIND_CLASS, 1)
-    kinds = F.filter(F.transform(F.filter(cells, lambda c: c.contains("종")), kind), lambda k: k != "")  # within a cell: a number beside it is no part of it
-    return F.coalesce(let(compact(F.array_join(cells, "")), named), F.concat(F.lit("종류"), F.get(kinds, F.lit(0))))
+    return let(cells, lambda cells: let(F.array_join(cells, "\n", ""), lambda raw: joined(raw, cells)))
 
 
-def _filled(cells: Column) -> Column:
-    return F.filter(F.transform(cells, clean), lambda c: c != "")
+def _filled(line: Column) -> Column:
+    """A line without empty cells."""
+    return F.when(line.contains("\n\n") | line.startswith("\n") | line.endswith("\n"), F.trim(F.regexp_replace(line, "\n+", "\n"), F.lit("\n"))).otherwise(line)
+
+
+def _first(line: Column) -> Column:
+    return F.substring_index(line, "\n", 1)
+
+
+def _rest(line: Column) -> Column:
+    return F.when(line.contains("\n"), F.substr(line, F.locate("\n", line) + 1)).otherwise(F.when(line.isNotNull(), ""))
+
+
+def _cells(line: Column) -> Column:
+    return F.split(line, "\n")
+
+
+def _bare(line: Column) -> Column:
+    """Cells of a line without white space: blanks are all that clean cells have of it."""
+    return F.replace(line, F.lit(" "), F.lit(""))
 
 
 def _tail(cells: Column, start: int = 2) -> Column:
     return F.slice(cells, start, F.greatest(F.size(cells), F.lit(1)))
 
 
+def class_name(line: Column) -> Column:
+    """The share class that the cells of a line spell together, in its regular form; null if none."""
+
+    def named(blob: Column) -> Column:
+        marked = F.regexp_replace(blob, rf"^[\s\S]*?{FEE_CLASS}[\s\S]*$", "수수료$1-$2\n-$3\n($4)")  # a dash before a newline stands before nothing
+        return given(blob.contains("수수료") & blob.contains("("), marked, lambda m: F.when(m.contains("\n"), F.replace(F.replace(m, F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(""))))
+
+    def kind(bare: Column) -> Column:  # within a cell: a number beside it is no part of it
+        return given(bare.contains("종류"), F.regexp_extract(bare, KIND_CLASS, 1), lambda k: F.when(k != "", F.concat(F.lit("종류"), k)))
+
+    return let(_bare(line), lambda bare: F.coalesce(let(F.replace(bare, F.lit("\n"), F.lit("")), named), kind(bare)))
+
+
 def fee_row(cells: Column) -> Column:
     """A struct of ``FEE_FIELDS`` from the cells of a fee row, null if it is none.
 
     A row has a class and three or four rates. Once three rates are read, a cell like ``1,807`` would not fit as an amount: it is a rate whose decimal point
     was read as a comma. Any other number of ``AMOUNT`` or more begins the examples in money, which are left out.
     """
-    def numbers(cells: Column) -> Column:
-        """The numeric cells: their place, the rate that they state, and whether they begin the examples."""
-        known = F.transform(cells, lambda c, i: F.struct(i.alias("at"), c.alias("cell"), without_commas(c).alias("rate"), is_number(c).alias("is")))
-        return F.transform(F.filter(known, lambda x: x["is"]), rated)
+    return fee_line(line(cells))
 
-    def rated(x: Column, i: Column) -> Column:
-        comma = (i == 3) & x["cell"].rlike(r"^\d,[0-9]{3}$")
-        return F.struct(x["at"].alias("at"), F.when(comma, F.replace(x["cell"], F.lit(","), F.lit("."))).otherwise(x["rate"]).alias("rate"), (~comma & (x["rate"].try_cast("double") >= AMOUNT)).alias("ends"))
-
-    def read(name: Column, cells: Column, found: Column) -> Column:
-        """Rates and words before the examples, and the name, which a cell may state if the row's first cells do not."""
-        ends = F.coalesce(F.array_position(F.transform(found, lambda x: x["ends"]), F.lit(True)), F.lit(0)).cast("int")
-        cut = F.struct(F.when(ends > 0, F.get(found, ends - 1)["at"]).otherwise(F.size(cells)).alias("end"), F.when(ends > 0, ends - 1).otherwise(F.size(found)).alias("n"))
-        return let(cut, lambda c: let(F.transform(F.slice(found, F.lit(1), c["n"]), lambda x: x["rate"]), lambda rates: F.when(F.size(rates) >= 3, let(words(cells, found, c), lambda w: spoken(name, w, rates)))))
 
-    def words(cells: Column, found: Column, cut: Column) -> Column:
-        places = F.transform(found, lambda x: x["at"])
-        told = F.filter(F.transform(F.slice(cells, F.lit(1), cut["end"]), lambda c, i: F.struct(i.alias("at"), c.alias("cell"))), lambda x: ~F.array_contains(places, x["at"]))
-        return F.transform(told, lambda x: F.struct(x["at"].alias("at"), x["cell"].alias("cell"), is_class(x["cell"]).alias("named")))
+def fee_line(line: Column) -> Column:
+    """``fee_row`` of a line."""
+    comma = lambda c: c.rlike(r"^\d,[0-9]{3}$")
 
-    def spoken(name: Column, told: Column, rates: Column) -> Column:
-        names = F.when(~is_class(name), F.get(F.filter(told, lambda x: x["named"]), F.lit(0)))
-        return let(names, lambda n: let(F.struct(F.coalesce(n["cell"], name).alias("name"), sales(told, n).alias("sales"), rates.alias("rates")), made))
-
-    def sales(told: Column, n: Column) -> Column:
-        return F.coalesce(F.get(F.filter(told, lambda x: ~x["at"].eqNullSafe(n["at"]) & (~x["named"] | is_sales_charge(x["cell"]))), F.lit(0))["cell"], F.lit(""))
-
-    def made(read: Column) -> Column:
-        rate, name, four = (lambda i: F.get(read["rates"], F.lit(i))), read["name"], F.size(read["rates"]) >= 4
-        right = name.contains("수수료") | name.startswith("종류") | is_class(name) | (compact(name) == "투자신탁")
-        fields = [name, read["sales"], rate(0), rate(1), F.when(four, rate(2)).otherwise(""), F.when(four, rate(3)).otherwise(rate(2))]
+    def read(name: Column, sure: Column, cells: Column, found: Column) -> Column:
+        """Rates and words before the examples, and the name, which a cell may state if the row's first cells do not."""
+        money = F.transform(found, lambda c, i: (without_commas(c).try_cast("double") >= AMOUNT) & ~((i == 3) & comma(c)))
+        rates = let(F.array_position(money, F.lit(True)).cast("int"), lambda at: F.when(at > 0, at - 1).otherwise(F.size(found)))
+        return let(rates, lambda n: given(n >= 3, words(cells, n), lambda told: spoken(name, sure, told, found, n)))
+
+    def words(cells: Column, n: Column) -> Column:
+        """The cells before the number after the first ``n`` that are no numbers. Numbers are marked by tabs, which no clean cell holds."""
+        before = F.call_function("substring_index", F.regexp_replace(cells, WHOLE_NUMBER, "\t"), F.lit("\t"), n + 1)
+        return F.transform(F.regexp_extract_all(before, F.lit(r"[^\n\t]+"), F.lit(0)), over_array(lambda c, i: F.struct(i.alias("at"), c.alias("cell"), is_class(c).alias("named"))))
+
+    def spoken(name: Column, sure: Column, told: Column, found: Column, n: Column) -> Column:
+        names = F.when(~sure, F.get(F.filter(told, lambda x: x["named"]), F.lit(0)))
+        return let(names, lambda own: let(F.coalesce(own["cell"], name), lambda name: made(name, sure | own.isNotNull(), sales(told, own), found, n)))
+
+    def sales(told: Column, own: Column) -> Column:
+        return F.coalesce(F.get(F.filter(told, lambda x: ~x["at"].eqNullSafe(own["at"]) & (~x["named"] | is_sales_charge(x["cell"]))), F.lit(0))["cell"], F.lit(""))
+
+    def made(name: Column, sure: Column, sales: Column, found: Column, n: Column) -> Column:
+        right = sure | name.contains("수수료") | name.startswith("종류") | (_bare(name) == "투자신탁")
+        rate = lambda i: without_commas(F.get(found, F.lit(i)))
+        fourth = F.when(comma(F.get(found, F.lit(3))), F.replace(F.get(found, F.lit(3)), F.lit(","), F.lit("."))).otherwise(rate(3))
+        fields = [name, sales, rate(0), rate(1), F.when(n >= 4, rate(2)).otherwise(""), F.when(n >= 4, fourth).otherwise(rate(2))]
         return F.when(right, F.struct(*[v.alias(n) for n, v in zip(FEE_FIELDS, fields)]))
 
-    def parsed(values: Column) -> Column:
-        barred = F.exists(values, lambda x: is_date(x) | x.contains("비교지수") | x.contains("변동성"))
-        first = F.coalesce(class_name(values), F.get(values, F.lit(0)))
-        return F.when((F.size(values) > 0) & ~barred, let(_tail(values), lambda cells: let(numbers(cells), lambda found: F.when(F.size(found) >= 3, let(first, lambda name: read(name, cells, found))))))
+    def parsed(line: Column) -> Column:
+        barred = line.contains("비교지수") | line.contains("변동성") | line.rlike(WHOLE_DATE)
+        return given((line != "") & ~barred, _rest(line), lambda cells: let(F.regexp_extract_all(cells, F.lit(WHOLE_NUMBER), F.lit(1)), lambda found: numbered(line, cells, found)))
+
+    def numbered(line: Column, cells: Column, found: Column) -> Column:
+        named = lambda line: let(class_name(line), lambda known: let(F.coalesce(known, _first(line)), lambda name: classed(known, name)))
+        classed = lambda known, name: let(F.coalesce(F.length(known) <= 80, given(known.isNull(), name, is_class), F.lit(False)), lambda sure: read(name, sure, cells, found))
+        return given(F.size(found) >= 3, line, named)
 
-    headless = lambda v: F.when(compact(F.get(v, F.lit(0))).isin(HEADER_WORDS), _tail(v)).otherwise(v)
-    shorter = lambda v: F.when((F.length(F.get(v, F.lit(0))) > 80) & (F.size(v) > 1), _tail(v)).otherwise(v)
-    return let(let(let(_filled(cells), shorter), headless), parsed)
+    headless = lambda v: F.when(_bare(_first(v)).isin(HEADER_WORDS), _rest(v)).otherwise(v)
+    shorter = lambda v: F.when(v.contains("\n") & (F.length(_first(v)) > 80), _rest(v)).otherwise(v)
+    return let(let(let(_filled(line), shorter), headless), parsed)
 
 
 def performance_row(cells: Column) -> Column:
@@ -161,49 +240,59 @@ def performance_row(cells: Column) -> Column:
 
     The subject is a share class, the fund, its benchmark or its volatility. Dashes and blanks between rates keep their place.
     """
-    def trimmed(c: Column) -> Column:
-        last = F.array_max(F.transform(c, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
-        return F.slice(c, F.lit(1), F.coalesce(last, F.lit(0)))
+    return performance_line(line(cells))
 
-    def shaped(c: Column) -> Column:
-        part = F.struct(F.coalesce(F.get(c, F.lit(0)), F.lit("")).alias("head"), F.coalesce(F.get(c, F.lit(1)), F.lit("")).alias("second"), F.array_join(c, " ").alias("joined"), c.alias("c"))
-        return F.when(F.size(c) > 0, let(part, chosen))
-
-    def chosen(p: Column) -> Column:
-        c, head, second, joined = p["c"], p["head"], p["second"], p["joined"]
-        index = lambda x: x.contains("비교지수") | x.contains("변동성")
-        subject = is_class(head) | head.startswith("종류") | compact(head).isin("투자신탁", "펀드") | is_class(second)
-        row = F.exists(c, is_number) & ~joined.contains("납입금액") & ~joined.contains("이내") & ~is_date(head) & ~((F.size(c) >= 2) & is_sales_charge(second)) & (index(joined) | F.exists(c, is_date) | subject)
-        titled = head.isin("투자실적추이", "(연평균수익률)", "(단위:%)", "투자비용", "종류", "최초설정일")
-        second_named = (titled & index(second)) | (~titled & compact(head).rlike(r"^[A-Za-z][A-Za-z0-9\-]*$") & (is_class(second) | second.contains("수수료")))
-        trend = ~titled & ~second_named & head.startswith("투자실적") & joined.contains("비교지수")
-        rest = F.when(second_named, _tail(c, 3)).when(trend, F.filter(c, lambda x: ~x.contains("투자실적") & ~x.contains("연평균") & (x != "비교지수"))).otherwise(_tail(c))
-        picked = F.struct(F.when(second_named, second).when(trend, "비교지수").otherwise(head).alias("name"), rest.alias("rest"))
-        return F.when(row & ~(titled & ~second_named), let(picked, read_on))
 
-    def read_on(p: Column) -> Column:
-        x, name = compact(p["name"]), p["name"]
-        skipped = (_any(x, NO_SUBJECT) | x.isin(NO_SUBJECT_WHOLE)) & ~name.contains("비교지수") & ~name.contains("변동성")
-        start = F.struct(F.lit("").alias("inception"), F.array().cast("array<string>").alias("rates"))
-        subject = F.coalesce(class_name(F.concat(F.array(name), F.filter(p["rest"], lambda y: y != ""))), name)
-        return F.when(~skipped, let(F.aggregate(p["rest"], start, fold), lambda r: made(subject, r)))
+def performance_line(line: Column) -> Column:
+    """``performance_row`` of a line."""
+    index = lambda x: x.contains("비교지수") | x.contains("변동성")
+    dashes, dash = ["-", "–", "—"], "[-–—]"
 
-    def fold(at: Column, cell: Column) -> Column:
-        dates = is_date(cell) & (at["inception"] == "")
-        lead = (cell == "") & (F.size(at["rates"]) == 0) & (at["inception"] == "")  # the place of a date that is not stated
-        rate = F.when(~dates & is_number(cell), F.regexp_replace(cell, ",", "")).when(~dates & cell.isin("-", "–", "—", "") & ~lead, "")
-        more = F.when(rate.isNotNull(), F.array(rate)).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.when(dates, iso_date(cell)).otherwise(at["inception"]).alias("inception"), F.concat(at["rates"], more).alias("rates"))
+    def shaped(c: Column) -> Column:
+        return given((c != "") & ~c.contains("납입금액") & ~c.contains("이내"), c, lambda c: let(_first(c), lambda head: let(_first(_rest(c)), lambda second: numbered(c, head, second))))
 
-    def made(subject: Column, r: Column) -> Column:
-        periods = F.array(*[F.coalesce(F.get(r["rates"], F.lit(i)), F.lit("")) for i in range(len(PERIODS))])
-        return F.when(F.exists(r["rates"], lambda x: x != ""), F.struct(subject.alias("subject"), r["inception"].alias("inception"), periods.alias("rates")))
+    def numbered(c: Column, head: Column, second: Column) -> Column:
+        return given(~is_sales_charge(second) & ~is_date(head) & c.rlike(WHOLE_NUMBER), index(c) | c.rlike(WHOLE_DATE), lambda dated: chosen(c, head, second, dated))
 
-    return let(let(F.transform(cells, clean), trimmed), shaped)
+    def chosen(c: Column, head: Column, second: Column, dated: Column) -> Column:
+        subject = lambda head: is_class(head) | head.startswith("종류") | _bare(head).isin("투자신탁", "펀드") | is_class(second)
+        row = dated | given(~dated, head, subject)
+        titled = head.isin("투자실적추이", "(연평균수익률)", "(단위:%)", "투자비용", "종류", "최초설정일")
+        second_named = (titled & index(second)) | (~titled & _bare(head).rlike(r"^[A-Za-z][A-Za-z0-9\-]*$") & (is_class(second) | second.contains("수수료")))
+        trend = head.startswith("투자실적") & ~titled & c.contains("비교지수")
+        others = F.array_join(F.filter(_cells(c), lambda x: ~x.contains("투자실적") & ~x.contains("연평균") & (x != "비교지수")), "\n")
+        picked = F.when(second_named, F.struct(second.alias("name"), _rest(_rest(c)).alias("rest"))).when(trend, F.struct(F.lit("비교지수").alias("name"), others.alias("rest")))
+        return given(row, picked.when(~titled, F.struct(head.alias("name"), _rest(c).alias("rest"))), lambda p: let(p["name"], lambda name: let(p["rest"], lambda rest: read_on(name, rest))))
+
+    def read_on(name: Column, rest: Column) -> Column:
+        x = _bare(name)
+        skipped = (_any(x, NO_SUBJECT) | x.isin(NO_SUBJECT_WHOLE)) & ~index(name)
+        # From the first date, number or dash on: a blank before that is the place of a date that is not stated.
+        stated = F.regexp_extract(rest, rf"(?dms)^(?:{NUMBER_CELL}|{dash}|{DATE_CELL})$.*", 0)
+        rates = F.regexp_extract_all(stated, F.lit(rf"(?dm)^({NUMBER_CELL}|{dash}|)$"), F.lit(1))
+        return given(~skipped, rates, lambda rates: made(name, rest, rates))
+
+    def made(name: Column, rest: Column, rates: Column) -> Column:
+        rate = lambda c: F.when(c.isin(dashes), "").otherwise(without_commas(c))
+        periods = F.transform(F.slice(F.concat(rates, F.array(*[F.lit("")] * len(PERIODS))), 1, len(PERIODS)), rate)
+        subject = F.coalesce(class_name(F.concat(name, F.lit("\n"), rest)), name)
+        inception = let(F.regexp_extract(rest, WHOLE_DATE, 1), iso_date)
+        return F.when(F.exists(rates, lambda c: ~c.isin("", *dashes)), F.struct(subject.alias("subject"), inception.alias("inception"), periods.alias("rates")))
+
+    return let(F.rtrim(line, F.lit("\n")), shaped)
 
 
 def unwrapped(rows: Column) -> Column:
     """Rows without empty cells, where what a class name goes on with in a row below is put back to it."""
+    return F.transform(_unwrapped(F.transform(rows, line)), _cells)
+
+
+def _open_ended(line: Column) -> Column:
+    return ~line.contains("\n") | (line.contains("수수료") & _first(line).contains("수수료") & ~_first(line).contains("("))
+
+
+def _unwrapped(lines: Column) -> Column:
+    """``unwrapped`` of lines. Only a row of one cell goes on above, and only to a fee class without its code a longer one does: other tables stay as they are."""
 
     def fold(done: Column, row: Column) -> Column:
         one, last = F.get(row, F.lit(0)), F.element_at(done, F.lit(-1))
@@ -219,8 +308,8 @@ def unwrapped(rows: Column) -> Column:
         grown = F.concat(F.array(joint), _tail(p["last"]), F.when(alone, F.array().cast("array<string>")).otherwise(_tail(row)))
         return F.when(alone | within, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(row)))
 
-    full = F.filter(F.transform(rows, _filled), lambda r: F.size(r) > 0)
-    return F.aggregate(full, F.array().cast("array<array<string>>"), fold)
+    folded = lambda full: F.transform(F.aggregate(F.transform(full, _cells), F.array().cast("array<array<string>>"), fold), lambda r: F.array_join(r, "\n"))
+    return let(F.filter(F.transform(lines, _filled), lambda x: x != ""), lambda full: F.when(F.exists(full, _open_ended), folded(full)).otherwise(full))
 
 
 def _risk_role(cell: Column) -> Column:
@@ -236,6 +325,15 @@ def risk_rows(rows: Column) -> Column:
     Names and texts are two streams: a name may be wrapped over rows until it says a risk and does not end in a conjunction; a text goes on where no
     name stands beside it. So a wrapped name shifts no text.
     """
+    return _risks(F.transform(rows, line))
+
+
+def _risk_signed(line: Column) -> Column:
+    return reduce(lambda a, b: a & b, [line.contains(sign) for sign in RISK_SIGNS])
+
+
+def _risks(lines: Column) -> Column:
+    """``risk_rows`` of lines. A table without a row that has the signs of both heads is none and is not read any further."""
     blank = F.array().cast("array<string>")
     role = lambda cells, which: F.array_position(F.transform(cells, _risk_role), F.lit(which))
     is_head = lambda cells: (role(cells, "name") > 0) & (role(cells, "text") > 0)
@@ -280,23 +378,47 @@ def risk_rows(rows: Column) -> Column:
         head = F.array_position(F.transform(clear, is_head), F.lit(True)).cast("int")
         return let(head, lambda h: let(F.struct(clear.alias("rows"), h.alias("head"), role(F.get(clear, h - 1), "name").alias("name"), role(F.get(clear, h - 1), "text").alias("text")), below))
 
-    return let(F.transform(rows, lambda r: F.transform(r, clean)), headed)
+    return F.when(F.exists(lines, _risk_signed), let(F.transform(lines, _cells), headed))
 
 
 def reconstructed(tables: DataFrame, rows: str = "rows") -> DataFrame:
     """``tables`` with ``kind`` (risk, fees, performance, fees+performance, other), ``fees``, ``performance``, ``risks`` (arrays; null or empty if none), and for
     tables that none could be built from ``headers`` and the rows below them (``body``), typed by the words of their headers."""
-    t = tables.withColumn("risks", risk_rows(F.col(rows))).withColumn("_flat", unwrapped(F.col(rows)))
-    found = lambda f: F.filter(F.transform("_flat", f), lambda x: x.isNotNull())
-    t = t.withColumns({"fees": F.when(F.col("risks").isNull(), found(fee_row)), "performance": F.when(F.col("risks").isNull(), found(performance_row))})
+    t = tables.withColumn("_lines", F.transform(rows, line))
+    t = t.withColumns({"risks": _risks(F.col("_lines")), "_flat": _unwrapped(F.col("_lines"))})
+    found = lambda f: F.when(F.col("risks").isNull(), F.array_compact(F.transform("_flat", f)))
+    return _typed(t.withColumns({"fees": found(fee_line), "performance": found(performance_line)})).drop("_lines")
+
+
+def reconstructed_rows(rows: DataFrame, keys: list[str], order: list[str], cells: str = "cells") -> DataFrame:
+    """``reconstructed`` for tables that come as rows: ``keys`` name a table, ``order`` its rows' places (ties: by their cells).
+
+    A row is read where it lies, in generated code, before the rows of a table meet. That is all, unless a row of the table may go on in another one or has
+    the signs of a risk table's head: such tables are read again as a whole.
+    """
+    r = computed(rows, "_line", lambda: line(F.col(cells))).withColumn("_row", _filled(F.col("_line")))
+    r = computed(r, "_fee", lambda: fee_line(F.col("_row")))
+    r = computed(r, "_performance", lambda: performance_line(F.col("_row")))
+    whole = (F.col("_row") != "") & _open_ended(F.col("_row")) | _risk_signed(F.col("_line"))
+    r = r.select(*keys, *order, "_line", "_fee", "_performance", F.coalesce(whole, F.lit(False)).alias("_whole")).repartition(*keys)
+    t = r.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "_line", "_fee", "_performance"))).alias("_rows"), F.bool_or("_whole").alias("_whole"))
+    part = lambda name: F.transform("_rows", lambda x: x[name])
+    t = t.withColumn("_lines", part("_line")).withColumn("risks", F.when(F.col("_whole"), _risks(F.col("_lines"))))
+    t = t.withColumn("_flat", F.when(F.col("_whole"), _unwrapped(F.col("_lines"))).otherwise(F.filter(F.transform("_lines", _filled), lambda x: x != "")))
+    found = lambda f, alone: F.when(~F.col("_whole"), F.array_compact(part(alone))).when(F.col("risks").isNull(), F.array_compact(F.transform("_flat", f)))
+    return _typed(t.withColumns({"fees": found(fee_line, "_fee"), "performance": found(performance_line, "_performance")})).drop("_lines", "_rows", "_whole")
+
+
+def _typed(t: DataFrame) -> DataFrame:
+    """``kind``, ``headers`` and ``body`` from what was found."""
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
-    head = F.coalesce(F.get("_flat", F.lit(0)), F.array().cast("array<string>"))
-    blob = F.array_join(head, "")
+    top = F.get("_flat", F.lit(0))
+    head, blob = F.coalesce(_cells(top), F.array().cast("array<string>")), F.replace(F.coalesce(top, F.lit("")), F.lit("\n"), F.lit(""))
     by_head = F.when(blob.contains("총보수"), "fees").when(blob.contains("최근") & blob.contains("1년"), "performance").otherwise("other")
     kind = F.when(F.col("risks").isNotNull(), "risk").when(some("fees") & some("performance"), "fees+performance").when(some("fees"), "fees").when(some("performance"), "performance").otherwise(by_head)
     t = t.withColumn("kind", kind)
     plain = ~(some("risks") | some("fees") | some("performance"))
-    return t.withColumns({"headers": F.when(plain, head), "body": F.when(plain, _tail(F.col("_flat")))}).drop("_flat")
+    return t.withColumns({"headers": F.when(plain, head), "body": F.when(plain, F.transform(_tail(F.col("_flat")), _cells))}).drop("_flat")
 
 
 def text_tables(docs: DataFrame, doc_id: str, text: str, separator: str = " | ", least: int = 3) -> DataFrame:

@@ -85,7 +85,7 @@ SELECT l_orderkey, CASE WHEN n > 0 AND n_fees > 0 THEN 'fees+performance' WHEN n
 )
 def x05_reconstructed(t):
     """X-05, X-06: an order's rows as one table, taken apart into fee and performance rows and typed; dates are no subjects, dashes keep their place."""
-    rows = t("lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", fact_rows().alias("cells")))), lambda x: x["cells"]).alias("rows"))
-    made = T.reconstructed(rows)
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", fact_rows().alias("cells"))
+    made = T.reconstructed_rows(rows, ["l_orderkey"], ["l_linenumber"])
     lines = F.transform("performance", lambda p: F.concat(p["subject"], F.lit("@"), p["inception"], F.lit(":"), F.array_join(p["rates"], ",")))
     return made.select("l_orderkey", "kind", F.size("fees").cast("long").alias("n_fees"), F.array_join(lines, ";").alias("performance"))
